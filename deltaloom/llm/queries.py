@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm import hostrep, langid, simhash
+from deltaloom.llm import hostrep, langid, simhash, tokenbin, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +36,27 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, _read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digest(spark, _read(spark, sf_dir, "pages"))
+
+
+ORACLE["op4_warc"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM last AND last IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM m
+"""
+
+
+@query
+def op8_token_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.digest(spark, _read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 URL_RULES = [
     hostrep.Rule("block", "com", "/en/"),
     hostrep.Rule("allow", "example.com", "/en/7"),
