@@ -223,3 +223,19 @@ def identify(spark: SparkSession, docs: DataFrame, vocabulary_path: str, rows: i
     """
     model = train(docs.where(crc_mod(F.col("doc_id"), 4) != 2), vocabulary_path, rows=rows)
     return predict(model, docs).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def without_unknown(docs: DataFrame, vocabulary_path: str, least: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs whose text has a language: not 'und' and with a posterior of ``least`` or more. Map-only."""
+    model, place = train(docs, vocabulary_path, rows=rows), docs.columns.index("text")
+    if not model.langs:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                langs, scores = predict_texts(model, part.column(place).to_pylist())
+                yield part.filter(pa.array([lang != UNDETERMINED and s >= least for lang, s in zip(langs, scores)]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm import hostrep, langid, simhash, tokenbin, warc
+import corpus_pipeline
+from deltaloom.llm import decontam, hostrep, langid, mixing, simhash, tokenbin, warc
+from deltaloom.llm.common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,20 +24,16 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def tokenizer_path(name: str) -> str:
-    """Where a public vocabulary file is: the module public_tokenizers says so, else the folder it comes in."""
-    try:
-        import public_tokenizers
-    except ModuleNotFoundError:
-        return f"/opt/tokenizers/{name}"
-    return public_tokenizers.path(name)
-
-
 @query
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, _read(spark, sf_dir, "documents"))
 
 
+@query
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 @query
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(spark, _read(spark, sf_dir, "pages"))
@@ -52,6 +50,11 @@ FROM m
 """
 
 
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(spark, _read(spark, sf_dir, "documents"))
+
+
 @query
 def op8_token_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.digest(spark, _read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -129,3 +132,8 @@ ORACLE["op9_url_filter"] = _url_sql()
 @query
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, _read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

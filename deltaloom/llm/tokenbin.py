@@ -190,8 +190,14 @@ def _key(column):
     return F.coalesce(column, F.lit(-(1 << 63)))
 
 
+def _copy_keys(keys: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Keys of the rows that repeat an id: the first keeps the id's own."""
+    return np.where(copies == 0, keys, mix(keys ^ (copies.astype(np.uint64) << np.uint64(32)), 3))
+
+
 def write_shards(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
-    """Writes every text's ids; returns the folder and the manifest: shard, file, id_bytes, doc_id, offset, tokens."""
+    """Writes every text's ids; returns the folder and the manifest: shard, file, id_bytes, doc_id, copy, offset, tokens.
+    Rows that repeat an id stand side by side; copy counts them from 0."""
     folder = fresh_path(spark, "tokens")
 
     def run(batches):
@@ -201,6 +207,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, end_id: int =
         fs, root = file_system(folder)
         name, out, offset = f"shard-{shard:06d}-{uuid.uuid4().hex}.ids", None, 0
         dtype = _tokenizer(path)[2]
+        last, copy = None, -1
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -215,12 +222,16 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, end_id: int =
                 lengths += [len(f) for f in found]
             ends = offset + np.cumsum(np.array(lengths, dtype=np.int64))
             n = batch.num_rows
+            copies = np.zeros(n, dtype=np.int32)
+            for i, doc in enumerate(batch.column(0).to_pylist()):
+                copy = copy + 1 if copy >= 0 and doc == last else 0
+                last, copies[i] = doc, copy
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(n, shard)), pa.array([name] * n), pa.array(np.full(n, dtype.itemsize, dtype=np.int32)), batch.column(0),
+                    pa.array(np.full(n, shard)), pa.array([name] * n), pa.array(np.full(n, dtype.itemsize, dtype=np.int32)), batch.column(0), pa.array(copies),
                     pa.array(np.r_[offset, ends[:-1]]), pa.array(np.array(lengths, dtype=np.int64) // dtype.itemsize),
                 ],
-                names=["shard", "file", "id_bytes", "doc_id", "offset", "tokens"],
+                names=["shard", "file", "id_bytes", "doc_id", "copy", "offset", "tokens"],
             )
             offset = int(ends[-1])
         if out is not None:
@@ -228,7 +239,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, end_id: int =
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(_shards(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    written = rows.mapInArrow(run, "shard long, file string, id_bytes int, doc_id long, offset long, tokens long")
+    written = rows.mapInArrow(run, "shard long, file string, id_bytes int, doc_id long, copy int, offset long, tokens long")
     return folder, materialise(spark, written, "manifest")
 
 
@@ -237,11 +248,12 @@ def _shards(spark: SparkSession) -> int:
 
 
 def write_index(spark: SparkSession, manifest: DataFrame) -> tuple[str, DataFrame]:
-    """Writes the index files over a manifest; returns the folder and (part, parts, file). Rows that repeat an id
-    stand side by side in one shard; their slot has the place of the first and the number of rows and tokens of all."""
+    """Writes the index files over a manifest; returns the folder and (part, parts, file). Each row has a slot,
+    which also has the number of rows with its id."""
     folder = fresh_path(spark, "index")
-    keys = manifest.select(_key(F.col("doc_id")).alias("key"), "shard", "offset", "tokens")
-    keys = keys.groupBy("key").agg(F.min("shard").alias("shard"), F.min("offset").alias("offset"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
+    again = manifest.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(_key(F.col("doc_id")).alias("key"), "rows")
+    keys = manifest.select(_key(F.col("doc_id")).alias("key"), "copy", "shard", "offset", "tokens").join(again, "key", "left")
+    keys = keys.withColumn("rows", F.coalesce("rows", F.lit(1)).cast("long"))
     parts = max(1, -(-manifest.count() // PART_KEYS))
     keys = keys.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("long"))
 
@@ -253,7 +265,7 @@ def write_index(spark: SparkSession, manifest: DataFrame) -> tuple[str, DataFram
             fs, root = file_system(folder)
             fs.create_dir(root, recursive=True)
             name = f"part-{table['part'][0].as_py():06d}-{uuid.uuid4().hex}.mph"
-            own = table["key"].to_numpy().view(np.uint64)
+            own = _copy_keys(table["key"].to_numpy().view(np.uint64), table["copy"].to_numpy())
             packed = build_mph(own)
             place = find_slots(packed, own)
             slots = np.zeros(len(own), dtype=SLOT)
@@ -276,16 +288,16 @@ def write_index(spark: SparkSession, manifest: DataFrame) -> tuple[str, DataFram
         if held:
             yield flush()
 
-    files = keys.repartition("part").sortWithinPartitions("part", "key").mapInArrow(run, "part long, file string")
+    files = keys.repartition("part").sortWithinPartitions("part", "key", "copy").mapInArrow(run, "part long, file string")
     return folder, materialise(spark, files.withColumn("parts", F.lit(parts)), "index")
 
 
 def lookup(spark: SparkSession, keys: DataFrame, index_folder: str, index: DataFrame) -> DataFrame:
-    """doc_id, shard, offset, tokens, rows of the keys (column doc_id) that the index has; each part's file is read once
+    """doc_id, shard, offset, tokens of all rows of the keys (column doc_id) that the index has; each part's file is read once
     for each run of its keys. Keys that no document has are told by their fingerprint (but for one in 2**32)."""
     first = index.first()
     if first is None:
-        return spark.createDataFrame([], "doc_id long, shard long, offset long, tokens long, rows long")
+        return spark.createDataFrame([], "doc_id long, shard long, offset long, tokens long")
     asked = keys.select("doc_id").distinct().withColumn("key", _key(F.col("doc_id")))
     asked = asked.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(first["parts"])).cast("long")).join(index.select("part", "file"), "part")
 
@@ -307,41 +319,42 @@ def lookup(spark: SparkSession, keys: DataFrame, index_folder: str, index: DataF
                     packed = np.frombuffer(raw, "<u8", n_words, INDEX_HEAD_BYTES)
                     slots = np.frombuffer(raw, SLOT, n_slots, INDEX_HEAD_BYTES + 8 * n_words)
                 own = batch.column(1).to_numpy()[start:stop].view(np.uint64)
-                found = slots[find_slots(packed, own)]
-                known = found["print"] == _print(own)
-                ids = batch.column(0).slice(start, stop - start).filter(pa.array(known))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, *[pa.array(found[c][known].astype(np.int64)) for c in ("shard", "offset", "tokens", "rows")]],
-                    names=["doc_id", "shard", "offset", "tokens", "rows"],
-                )
+                ids, copies = np.arange(start, stop), np.zeros(len(own), dtype=np.int64)
+                while len(own):
+                    prints = _copy_keys(own, copies)
+                    found = slots[find_slots(packed, prints)]
+                    known = found["print"] == _print(prints)
+                    ids, own, copies, found = ids[known], own[known], copies[known], found[known]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(ids)), *[pa.array(found[c].astype(np.int64)) for c in ("shard", "offset", "tokens")]],
+                        names=["doc_id", "shard", "offset", "tokens"],
+                    )
+                    more = copies + 1 < found["rows"]
+                    ids, own, copies = ids[more], own[more], copies[more] + 1
                 start = stop
 
     dealt = asked.select("doc_id", "key", "file").repartition("file").sortWithinPartitions("file", "key")
-    return dealt.mapInArrow(run, "doc_id long, shard long, offset long, tokens long, rows long")
+    return dealt.mapInArrow(run, "doc_id long, shard long, offset long, tokens long")
 
 
-def read_back(spark: SparkSession, places: DataFrame, folder: str, shards: DataFrame, end_id: int = 0) -> DataFrame:
+def read_back(spark: SparkSession, places: DataFrame, folder: str, shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document at the places (from lookup), read from the shard files.
 
-    shards: shard, file, id_bytes, base (ids in the shards before), a row for each shard. Places with several rows are
-    cut at end ids where these mark documents; an id that stands within a document needs no repeated keys.
+    shards: shard, file, id_bytes, base (ids in the shards before), a row for each shard.
     """
-    placed = places.join(shards, "shard").select("file", "id_bytes", "base", "doc_id", "offset", "tokens", "rows")
+    placed = places.join(shards, "shard").select("file", "id_bytes", "base", "doc_id", "offset", "tokens")
 
     def run(batches):
         fs, root = file_system(folder)
         name, source = None, None
         for batch in batches:
             out: list[tuple] = []
-            for file, width, base, doc, offset, tokens, rows in zip(*(c.to_pylist() for c in batch.columns)):
+            for file, width, base, doc, offset, tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 if file != name:
                     name, source = file, fs.open_input_file(f"{root}/{file}")
                 source.seek(HEAD_BYTES + offset)
                 ids = np.frombuffer(source.read(tokens * width), f"<u{width}")
-                start = base + offset // width
-                for own in _documents(ids, rows, end_id):
-                    out.append((doc, start, len(own), zlib.crc32(own.astype("<u4").tobytes())))
-                    start += len(own)
+                out.append((doc, base + offset // width, tokens, zlib.crc32(ids.astype("<u4").tobytes())))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -349,16 +362,6 @@ def read_back(spark: SparkSession, places: DataFrame, folder: str, shards: DataF
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def _documents(ids: np.ndarray, rows: int, end_id: int) -> list[np.ndarray]:
-    """The documents that stand side by side under one key."""
-    if rows == 1:
-        return [ids]
-    ends = np.flatnonzero(ids == end_id) + 1
-    if len(ends) == rows:
-        return np.split(ids, ends[:-1])
-    raise ValueError("documents under a repeated key hold the end id; read them by the manifest")
-
-
 def shard_table(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """shard, file, id_bytes, base. A row for each shard: the driver sums up their sizes (as many as partitions)."""
     sizes = manifest.groupBy("shard", "file", "id_bytes").agg(F.sum("tokens").alias("n")).orderBy("shard").collect()
@@ -378,4 +381,4 @@ def digest(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0
     folder, manifest = write_shards(spark, docs, tokenizer, end_id, id_col, text_col)
     index_folder, index = write_index(spark, manifest)
     places = lookup(spark, docs.select(F.col(id_col).cast("long").alias("doc_id")), index_folder, index)
-    return read_back(spark, places, folder, shard_table(spark, manifest), end_id)
+    return read_back(spark, places, folder, shard_table(spark, manifest))
