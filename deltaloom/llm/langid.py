@@ -24,7 +24,7 @@ ROUNDS = 4
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _LONGEST = 24  # letters of a word that are scored together; longer runs are scored in such parts
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 250_000
 _FLOOR = 1e-7
 _cache: dict[tuple, dict[str, np.ndarray]] = {}
 

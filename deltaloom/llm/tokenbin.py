@@ -36,7 +36,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PIECE = re.compile(f" ?[{_LETTERS}]+(?![^{_WS}.,!?;:])| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Texts that are more than words with single spaces or line ends between them.
 _ODD = "[WS][WS]|^[WS]|[WS]$|[\\t\\v\\f\\rWX\\x00\\x01]".replace("WS", _WS).replace("WX", _WS[4:])
-_CACHE_PIECES = 1_000_000
+_CACHE_PIECES = 600_000
 _cache: dict[str, tuple] = {}
 
 
