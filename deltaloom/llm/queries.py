@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from deltaloom.llm import decontam, hostrep, langid, mixing, simhash, tokenbin, warc
+from deltaloom.llm import decontam, hostrep, langid, mixing, pqdedup, simhash, tokenbin, toxicity, warc
 from deltaloom.llm.common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,12 @@ def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade"))
+    return toxicity.severities(spark, _read(spark, sf_dir, "documents"), labels)
+
+
 @query
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(spark, _read(spark, sf_dir, "pages"))
@@ -50,6 +56,11 @@ FROM m
 """
 
 
+@query
+def op5_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pqdedup.near_duplicates(spark, _read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(spark, _read(spark, sf_dir, "documents"))
