@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from deltaloom.llm import decontam, hostrep, langid, mixing, pqdedup, simhash, tokenbin, toxicity, warc
+from deltaloom.llm import decontam, hostrep, katz, langid, mixing, pqdedup, simhash, tokenbin, toxicity, warc
 from deltaloom.llm.common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,8 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(spark, _read(spark, sf_dir, "documents"))
