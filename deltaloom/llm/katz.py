@@ -22,11 +22,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.llm.common import fresh_path
 
+#: Bytes of text in a chunk, about; a longer text is a chunk of its own.
+CHUNK_BYTES = 12 << 20
 K, KEPT, SMOOTH, FOLDS = 5, 1e-3, 0.1, 10
 HOT, HOT_SAMPLE, HOT_SHARE = 1000, 500, 1e-3
 _TABLE = "kind string, part long, payload binary"
@@ -341,7 +344,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = frequent_words(rows)
 
     def pack(batches):
@@ -349,9 +352,15 @@ def score_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
         chunk = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for row in pack_chunk(chunk, batch.column(0).to_pylist(), batch.column(1).to_pylist(), hot, buckets):
-                yield _rows([row])
-            chunk += 1
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            start = 0
+            while start < batch.num_rows:
+                before = sizes[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES, side="right")))
+                part = batch.slice(start, stop - start)
+                for row in pack_chunk(chunk, part.column(0).to_pylist(), part.column(1).to_pylist(), hot, buckets):
+                    yield _rows([row])
+                chunk, start = chunk + 1, stop
 
     def count(batches):
         def reduce(part, held):
