@@ -53,6 +53,17 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else ("file://" + os.path.abspath(uri.removeprefix("file:"))))
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """A worker's cache of one operator; those of others are dropped, as stages share their workers' memory."""
+    for other, cache in _caches.items():
+        if other != name:
+            cache.clear()
+    return _caches.setdefault(name, {})
+
+
 def lower_ascii(column):
     """Lower-cases A-Z and nothing else."""
     return F.translate(column, UPPER, LOWER)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaloom.llm.common import worker_cache
+
 SIMILARITY = 0.8
 #: Items of fewer words are no evidence and are left out.
 LEAST_WORDS = 5
@@ -26,7 +28,6 @@ WALKS, SAMPLES, BITS = 12, 4, 2
 #: Items that one pass over the documents looks for; more items take more passes.
 BLOCK_ITEMS = 20_000
 _WORD = re.compile(r"[^\W_]+")
-_index: dict[str, Index] = {}
 
 
 def words(text: str | None) -> list[str]:
@@ -211,10 +212,11 @@ def best_match(pattern: list[int], text: list[int]) -> tuple[int, int, int]:
 
 
 def _loaded(key: str, items: list[tuple[int, str]], similarity: float) -> Index:
-    if key not in _index:
-        _index.clear()
-        _index[key] = Index(items, similarity)
-    return _index[key]
+    cache = worker_cache("decontam")
+    if key not in cache:
+        cache.clear()
+        cache[key] = Index(items, similarity)
+    return cache[key]
 
 
 def find_in_texts(key: str, items: list[tuple[int, str]], similarity: float, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:

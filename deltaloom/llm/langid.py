@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import crc_mod
+from deltaloom.llm.common import crc_mod, worker_cache
 
 #: Labelled rows of each language that the fit takes, about (rows are drawn by a hash of their id).
 TRAIN_ROWS = 600
@@ -24,9 +24,8 @@ ROUNDS = 4
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _LONGEST = 24  # letters of a word that are scored together; longer runs are scored in such parts
-_CACHE_WORDS = 250_000
+_CACHE_WORDS = 200_000
 _FLOOR = 1e-7
-_cache: dict[tuple, dict[str, np.ndarray]] = {}
 
 
 def words(text: str | None) -> list[str]:
@@ -168,13 +167,16 @@ def train(
 
 def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Best language and its posterior (equal priors); und and 0 where a text has no letter or no language is known."""
-    known = _cache.setdefault(model.key, {})
+    cache = worker_cache("langid")
+    if model.key not in cache:
+        cache.clear()
+    known = cache.setdefault(model.key, {})
     counted = [Counter(words(t)) for t in texts]
     if len(known) > _CACHE_WORDS:
         known.clear()
     new = sorted({w for c in counted for w in c if w not in known}) if model.langs else []
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
+    for i in range(0, len(new), 5_000):
+        part = new[i : i + 5_000]
         known.update(zip(part, model.log_probs(part)))
     langs, scores = [], []
     for c in counted:

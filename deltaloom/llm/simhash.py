@@ -210,7 +210,8 @@ def max_distance(similarity: float = SIMILARITY, bits: int = WIDE_BITS) -> int:
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WIDE_WORDS) -> DataFrame:
     def run(batches):
         for batch in batches:
-            fps = np.array([wide_fingerprint(t, size) for t in batch.column(1).to_pylist()], dtype=np.int64).reshape(-1, 4)
+            texts = (t for i in range(0, batch.num_rows, 256) for t in batch.column(1).slice(i, 256).to_pylist())
+            fps = np.array([wide_fingerprint(t, size) for t in texts], dtype=np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, k].copy()) for k in range(4)]], names=["doc_id", *_WORDS])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import file_system, fresh_path, materialise
+from deltaloom.llm.common import file_system, fresh_path, materialise, worker_cache
 
 MAGIC, HEAD, INDEX_HEAD = b"DLTK", "<4sHH8x", "<4sIII"
 HEAD_BYTES, INDEX_HEAD_BYTES = struct.calcsize(HEAD), struct.calcsize(INDEX_HEAD)
@@ -36,8 +36,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PIECE = re.compile(f" ?[{_LETTERS}]+(?![^{_WS}.,!?;:])| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Texts that are more than words with single spaces or line ends between them.
 _ODD = "[WS][WS]|^[WS]|[WS]$|[\\t\\v\\f\\rWX\\x00\\x01]".replace("WS", _WS).replace("WX", _WS[4:])
-_CACHE_PIECES = 600_000
-_cache: dict[str, tuple] = {}
+_CACHE_PIECES = 400_000
 
 
 _WORD = re.compile(f" ?[{_LETTERS}]+")
@@ -70,7 +69,8 @@ class _Pieces(dict):
 
 def _tokenizer(path: str):
     """(tokenizer, special strings, dtype of ids, pieces), loaded once for each worker."""
-    if path not in _cache:
+    cache = worker_cache("tokenbin")
+    if path not in cache:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,8 +79,8 @@ def _tokenizer(path: str):
         tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         dtype = np.dtype("<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        _cache[path] = (tokenizer, special, dtype, _Pieces(tokenizer, dtype))
-    return _cache[path]
+        cache[path] = (tokenizer, special, dtype, _Pieces(tokenizer, dtype))
+    return cache[path]
 
 
 def _plain(texts: pa.Array, pieces: _Pieces) -> list[bytes]:
@@ -216,8 +216,8 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, end_id: int =
                 out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(struct.pack(HEAD, MAGIC, 1, dtype.itemsize))
             lengths = []
-            for i in range(0, batch.num_rows, 8192):
-                found = encode(path, batch.column(1).slice(i, 8192), end_id)
+            for i in range(0, batch.num_rows, 2048):
+                found = encode(path, batch.column(1).slice(i, 2048), end_id)
                 out.write(b"".join(found))
                 lengths += [len(f) for f in found]
             ends = offset + np.cumsum(np.array(lengths, dtype=np.int64))
