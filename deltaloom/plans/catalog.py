@@ -3,8 +3,279 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from deltaloom.config import SMALL, EngineConfig
+from deltaloom.functions import bytescan, codecs
+from deltaloom.operators import reduce as ops
+from deltaloom.plans import reduction
+from deltaloom.sources import blobs as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return sources.from_text(_read(spark, sf_dir, "documents"), "doc_id", "text", *keep)
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.from_text(_read(spark, sf_dir, "pages"), "page_id", "html")
+
+
+def _fixed_sql(table: str, key: str, text: str, tail: bool) -> str:
+    size, n = 8192, f"octet_length(encode(coalesce({text}, '')))"
+    count = f"CAST({'ceil' if tail else 'floor'}({n} / {size}.0) AS BIGINT)"
+    return f"""
+SELECT {key} AS blob_id, CAST(i AS INTEGER) AS idx, {key} * 1048576 + i AS ord, i * {size} AS "offset", CAST(least({size}, {n} - i * {size}) AS INTEGER) AS size,
+  md5(unhex(substr(hex(encode(coalesce({text}, ''))), i * {2 * size} + 1, {2 * size}))) AS digest
+FROM (SELECT *, unnest(range({count})) AS i FROM {table})"""
+
+
+def _digests(chunks: DataFrame) -> DataFrame:
+    return chunks.select("blob_id", "idx", "ord", "offset", "size", F.md5("data").alias("digest"))
+
+
+@query(_fixed_sql("documents", "doc_id", "text", True))
+def fixed_chunks_docs(spark, sf_dir):
+    return _digests(ops.fixed_chunks(_docs(spark, sf_dir)))
+
+
+@query(_fixed_sql("documents", "doc_id", "text", False))
+def fixed_chunks_drop_tail(spark, sf_dir):
+    return _digests(ops.fixed_chunks(_docs(spark, sf_dir), keep_tail=False))
+
+
+@query(_fixed_sql("pages", "page_id", "html", True))
+def pages_chunks(spark, sf_dir):
+    return _digests(ops.fixed_chunks(_pages(spark, sf_dir)))
+
+
+_WHOLE = "SELECT doc_id * 1048576 AS ord, lang, source, md5(coalesce(text, '')) AS fp, octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM documents"
+_DEDUP = f"WITH c AS ({_WHOLE}), d AS (SELECT *, min(ord) OVER (PARTITION BY fp) AS first_ord FROM c)"
+
+
+def _whole(spark, sf_dir) -> DataFrame:
+    """Each document as one chunk, deduplicated."""
+    rows = _docs(spark, sf_dir, "lang", "source").withColumn("ord", F.col("blob_id") * (1 << 20))
+    rows = rows.withColumn("size", F.octet_length("content").cast("long"))
+    return ops.dedup(rows, EngineConfig(), F.md5("content")).drop("content")
+
+
+@query(f"{_DEDUP} SELECT ord, fp, first_ord, first_ord < ord AS is_dup FROM d")
+def dedup_first_occurrence(spark, sf_dir):
+    return _whole(spark, sf_dir).select("ord", "fp", "first_ord", "is_dup")
+
+
+_SUMS = "count(*) AS n, count_if(first_ord < ord)::BIGINT AS dups, sum(size)::BIGINT AS bytes, sum(CASE WHEN first_ord < ord THEN 0 ELSE size END)::BIGINT AS unique_bytes"
+
+
+def _sums() -> list:
+    return [
+        F.count("*").alias("n"), F.count_if("is_dup").alias("dups"), F.sum("size").cast("long").alias("bytes"),
+        F.sum(F.when(F.col("is_dup"), 0).otherwise(F.col("size"))).cast("long").alias("unique_bytes"),
+    ]
+
+
+@query(f"{_DEDUP}, s AS (SELECT {_SUMS} FROM d) SELECT *, bytes / unique_bytes::DOUBLE AS dedup_ratio FROM s")
+def dedup_summary(spark, sf_dir):
+    return _whole(spark, sf_dir).agg(*_sums()).withColumn("dedup_ratio", F.col("bytes") / F.col("unique_bytes"))
+
+
+@query(f"{_DEDUP} SELECT lang, {_SUMS} FROM d GROUP BY lang")
+def dedup_ratio_by_lang(spark, sf_dir):
+    return _whole(spark, sf_dir).groupBy("lang").agg(*_sums())
+
+
+@query(f"{_DEDUP} SELECT lang, source, {_SUMS} FROM d GROUP BY ROLLUP (lang, source)")
+def dedup_rollup(spark, sf_dir):
+    return _whole(spark, sf_dir).rollup("lang", "source").agg(*_sums())
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, md5(coalesce(text, '')) AS fp FROM conversations)
+SELECT fp, count(*) AS n, min(conv_id * 4096 + turn) AS first_ord FROM c GROUP BY fp""")
+def conversation_dedup(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations").select((F.col("conv_id") * 4096 + F.col("turn")).alias("ord"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("fp"))
+    return rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
+
+
+@query("""
+SELECT source, count(*) AS n, count_if(EXISTS (SELECT 1 FROM documents o WHERE o.source <> d.source AND md5(o.text) = md5(d.text)))::BIGINT AS elsewhere
+FROM documents d GROUP BY source""")
+def cross_source_overlap(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("fp"))
+    spread = rows.where("source IS NOT NULL").groupBy("fp").agg(F.count_distinct("source").alias("k"))
+    found = rows.join(spread, "fp", "left")
+    return found.groupBy("source").agg(F.count("*").alias("n"), F.count_if((F.col("k") > 1) & F.col("source").isNotNull()).alias("elsewhere"))
+
+
+_KEYS = """WITH k AS (SELECT l_orderkey * 8 + l_linenumber AS ord, 0 AS sf_pos, l_partkey AS sf_value FROM lineitem
+  UNION ALL SELECT l_orderkey * 8 + l_linenumber, 1, l_suppkey FROM lineitem),
+u AS (SELECT DISTINCT ord, sf_pos, sf_value FROM k)"""
+
+
+def _table_keys(spark, sf_dir) -> DataFrame:
+    """Index keys from a table of numbers: order lines in order, keyed by part and by supplier."""
+    rows = _read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), F.array("l_partkey", "l_suppkey").alias("sfp"))
+    return ops.index_keys(rows).distinct()
+
+
+@query(f"""{_KEYS}, l AS (SELECT *, lag(ord) OVER (PARTITION BY sf_pos, sf_value ORDER BY ord) AS base FROM u)
+SELECT ord, arg_min(base, sf_pos * 1e15 + base) AS base_ord, min(sf_pos)::INTEGER AS sf_pos FROM l WHERE base IS NOT NULL GROUP BY ord""")
+def latest_base(spark, sf_dir):
+    return ops.latest_base(_table_keys(spark, sf_dir))
+
+
+@query(f"{_KEYS} SELECT sf_pos::INTEGER AS sf_pos, count(DISTINCT sf_value) AS n_keys FROM u GROUP BY sf_pos")
+def index_size(spark, sf_dir):
+    return ops.index_size(_table_keys(spark, sf_dir))
+
+
+@query(f"""{_KEYS}, l AS (SELECT *, lag(ord) OVER (PARTITION BY sf_pos, sf_value ORDER BY ord) AS base_ord FROM u)
+SELECT ord, base_ord, count(*) AS n_shared FROM l WHERE base_ord IS NOT NULL GROUP BY ord, base_ord""")
+def similar_pairs(spark, sf_dir):
+    return ops.similar_pairs(_table_keys(spark, sf_dir))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS size, CAST(floor(l_extendedprice * (1 - l_discount)) AS BIGINT) AS self_size,
+  CASE WHEN l_returnflag <> 'N' THEN CAST(floor(l_quantity * 800) AS BIGINT) END AS delta_size FROM lineitem),
+k AS (SELECT *, CASE WHEN delta_size IS NOT NULL AND least(self_size, size) > delta_size THEN 'delta' WHEN self_size < size THEN 'lossless' ELSE 'raw' END AS kind FROM s)
+SELECT kind, count(*) AS n, sum(size)::BIGINT AS bytes FROM k GROUP BY kind""")
+def choose_encoding(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").select(
+        F.floor("l_extendedprice").cast("long").alias("size"), F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("long").alias("self_size"),
+        F.when(F.col("l_returnflag") != "N", F.floor(F.col("l_quantity") * 800).cast("long")).alias("delta_size"),
+    )
+    return rows.withColumn("kind", ops.choose(F.col("size"), F.col("self_size"), F.col("delta_size"))).groupBy("kind").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+@query("""
+SELECT o_orderkey, o_custkey, bit_count(~xor(o_orderkey * 2654435761, o_custkey * 40503))::INTEGER AS anti_hamming,
+  bit_count(xor(o_orderkey * 2654435761, o_custkey * 40503))::INTEGER AS hamming, bit_count((o_orderkey * 2654435761) & (o_custkey * 40503))::INTEGER AS shared_ones FROM orders""")
+def similarity_measures(spark, sf_dir):
+    a, b = F.col("o_orderkey") * 2654435761, F.col("o_custkey") * 40503
+    return _read(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", ops.anti_hamming(a, b).alias("anti_hamming"), ops.hamming(a, b).alias("hamming"), ops.shared_ones(a, b).alias("shared_ones")
+    )
+
+
+@query("""
+WITH p AS (SELECT d.doc_id, encode(coalesce(d.text, '')) AS a, encode(coalesce(o.text, '')) AS b FROM documents d LEFT JOIN documents o ON o.doc_id = d.doc_id + 1)
+SELECT doc_id, octet_length(a)::INTEGER AS new_bytes, octet_length(b)::INTEGER AS base_bytes, TRUE AS ok FROM p""")
+def codec_roundtrip(spark, sf_dir):
+    """Every document against the one after it, through every codec; ok if all give it back."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("a"))
+    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id", "left")
+
+    @F.pandas_udf("boolean")
+    def ok(new: pd.Series, base: pd.Series) -> pd.Series:
+        def same(n: bytes, b: bytes) -> bool:
+            deltas = all(codecs.DECODERS[k](e(n, b), b) == n for k, e in codecs.ENCODERS.items())
+            bits = [bytescan.bitmap_sketch(x) for x in (n, b)]
+            guided = codecs.gdelta_decode(codecs.gdelta_sketch_encode(n, b, *bits), b) == n
+            return deltas and guided and all(codecs.decompress(codecs.compress(n, k), len(n), k) == n for k in ("zstd", "lz4"))
+
+        return pd.Series([same(n, b) for n, b in zip(new, base)])
+
+    b = F.coalesce("b", F.lit(b""))
+    return pairs.select("doc_id", F.octet_length("a").alias("new_bytes"), F.octet_length(b).alias("base_bytes"), ok("a", b).alias("ok"))
+
+
+def _chunk_rows(spark, sf_dir, **options) -> DataFrame:
+    return ops.content_chunks(_docs(spark, sf_dir), replace(SMALL, **options)).select("blob_id", "idx", "ord", "offset", "size", "bits", F.md5("data").alias("digest"))
+
+
+for _name, _kind in (("cdc_chunks_docs", "normalized"), ("cdc_two_bytes", "normalized2"), ("cdc_plain", "plain"), ("cdc_plain_two_bytes", "plain2"), ("cdc_unified", "unified")):
+    QUERIES[_name] = lambda spark, sf_dir, kind=_kind: _chunk_rows(spark, sf_dir, chunker=kind)
+    QUERIES[_name].__name__ = _name
+
+
+@query()
+def small_chunks(spark, sf_dir):
+    rows = _chunk_rows(spark, sf_dir)
+    return rows.groupBy((F.col("size") <= 1024).alias("small")).agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("bytes"))
+
+
+def _sketched(spark, sf_dir, **options) -> reduction.Reduction:
+    return reduction.reduce(_docs(spark, sf_dir), replace(SMALL, **options))
+
+
+@query()
+def bitmap_sketches(spark, sf_dir):
+    return _sketched(spark, sf_dir).sketched.select("ord", "bits", "sfp", F.bit_count("bits").alias("ones"))
+
+
+@query()
+def odess_sketches(spark, sf_dir):
+    return _sketched(spark, sf_dir, sketch="odess", features=12).sketched.select("ord", "features", "sfp")
+
+
+@query()
+def ntransform_sketches(spark, sf_dir):
+    return _sketched(spark, sf_dir, sketch="ntransform", features=12).sketched.select("ord", "features", "sfp")
+
+
+@query()
+def popcount_histogram(spark, sf_dir):
+    return _sketched(spark, sf_dir).sketched.groupBy(F.bit_count("bits").alias("ones")).agg(F.count("*").alias("n"))
+
+
+@query()
+def mask_hits(spark, sf_dir):
+    @F.pandas_udf("array<long>")
+    def hits(s: pd.Series) -> pd.Series:
+        return s.map(bytescan.bitmap_hits)
+
+    rows = _docs(spark, sf_dir).select(F.posexplode(hits("content")).alias("mask", "n"))
+    return rows.groupBy("mask").agg(F.sum("n").alias("n"))
+
+
+@query()
+def similar_chunks(spark, sf_dir):
+    return _sketched(spark, sf_dir).candidates
+
+
+@query()
+def cluster_base(spark, sf_dir):
+    return _sketched(spark, sf_dir, index="cluster").candidates
+
+
+@query()
+def reduction_report(spark, sf_dir):
+    return _sketched(spark, sf_dir).report()
+
+
+@query()
+def reduction_report_baseline(spark, sf_dir):
+    return _sketched(spark, sf_dir, chunker="fixed", sketch="odess", features=12, delta_post_compress=False).report()
+
+
+@query()
+def dce_by_similarity(spark, sf_dir):
+    return ops.dce_by_similarity(_sketched(spark, sf_dir).encoded)
+
+
+@query()
+def codec_comparison(spark, sf_dir):
+    r = _sketched(spark, sf_dir)
+    return ops.codec_comparison(r.sketched, r.candidates, r.config)
