@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from deltaloom.llm.common import fresh_path
 
 #: Bytes of text in a chunk, about; a longer text is a chunk of its own.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 20 << 20
 K, KEPT, SMOOTH, FOLDS = 5, 1e-3, 0.1, 10
 HOT, HOT_SAMPLE, HOT_SHARE = 1000, 500, 1e-3
 _TABLE = "kind string, part long, payload binary"
@@ -141,7 +141,7 @@ def _add(target: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
 
 
 def count_bucket(payloads: list[bytes], hot: np.ndarray, buckets: int):
-    """Counts of a bucket, and what follows for documents and contexts."""
+    """Counts of a bucket, and what follows for documents and contexts (dealt to so many buckets)."""
     packets = sorted((_unpack(p) for p in payloads), key=lambda p: int(p["chunk"][0]))
     held = [np.unpackbits(p["held"])[: int(p["n"][0])].astype(bool) for p in packets]
     spans = np.cumsum([0, *(len(p["h"]) for p in packets)])
@@ -344,7 +344,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = frequent_words(rows)
 
     def pack(batches):
@@ -367,7 +367,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
             for payload in held.get("docs", []):
                 yield "docs", part, payload
             if "pairs" in held:
-                yield from count_bucket(held["pairs"], hot, buckets)
+                yield from count_bucket(held["pairs"], hot, max(1, buckets // 2))
 
         return _by_part(batches, reduce)
 
