@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows and features that the fit takes at most (rows are drawn by a hash of their id).
 TRAIN_ROWS, MOST_FEATURES, LEAST_ROWS = 12_000, 5_000, 4
+#: Features whose rows are not this many standard deviations from the share of all rows are noise.
+LEAST_Z = 3.0
 PREFIX = 5
 ROUNDS, RATE, PENALTY = 250, 0.1, 2e-4
 _WORD = re.compile(r"[^\W\d_]+")
@@ -118,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     share = toxic.mean()
     z = np.abs(inside - share * df) / np.sqrt(share * (1 - share) * df)
     order = np.lexsort((np.arange(len(df)), -np.where(df >= LEAST_ROWS, z, -1)))[:MOST_FEATURES]
-    order = order[df[order] >= LEAST_ROWS]
+    order = order[(df[order] >= LEAST_ROWS) & (z[order] >= LEAST_Z)]
     number = np.full(len(df), -1)
     number[order] = np.arange(len(order))
     keep = number[cols] >= 0
