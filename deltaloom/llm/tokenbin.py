@@ -36,7 +36,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PIECE = re.compile(f" ?[{_LETTERS}]+(?![^{_WS}.,!?;:])| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Texts that are more than words with single spaces or line ends between them.
 _ODD = "[WS][WS]|^[WS]|[WS]$|[\\t\\v\\f\\rWX\\x00\\x01]".replace("WS", _WS).replace("WX", _WS[4:])
-_CACHE_PIECES = 400_000
+_CACHE_PIECES = 250_000
 
 
 _WORD = re.compile(f" ?[{_LETTERS}]+")
@@ -216,8 +216,8 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, end_id: int =
                 out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(struct.pack(HEAD, MAGIC, 1, dtype.itemsize))
             lengths = []
-            for i in range(0, batch.num_rows, 2048):
-                found = encode(path, batch.column(1).slice(i, 2048), end_id)
+            for i in range(0, batch.num_rows, 1024):
+                found = encode(path, batch.column(1).slice(i, 1024), end_id)
                 out.write(b"".join(found))
                 lengths += [len(f) for f in found]
             ends = offset + np.cumsum(np.array(lengths, dtype=np.int64))
@@ -234,6 +234,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, end_id: int =
                 names=["shard", "file", "id_bytes", "doc_id", "copy", "offset", "tokens"],
             )
             offset = int(ends[-1])
+            pa.default_memory_pool().release_unused()
         if out is not None:
             out.close()
 
