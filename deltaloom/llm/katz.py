@@ -94,8 +94,14 @@ def pack_chunk(chunk: int, ids: list[int | None], texts: list[str | None], hot:
     before = np.concatenate([x for f in found for x in (end + 1, f)]) if found else end[:0]
     doc = np.repeat(np.arange(len(ids)), sizes)
     held = np.array([held_out(i) for i in ids], dtype=bool)
-    pairs, pair = np.unique(word * n + before, return_inverse=True)
-    cells, counts = np.unique(pair * len(ids) + doc, return_counts=True)
+    word *= n
+    word += before
+    del found, before
+    pairs, pair = np.unique(word, return_inverse=True)
+    del word
+    pair *= len(ids)
+    pair += doc
+    cells, counts = np.unique(pair, return_counts=True)
     pair, doc = cells // max(1, len(ids)), cells % max(1, len(ids))
     w, h = keys[pairs // n], keys[pairs % n]
     at = np.minimum(np.searchsorted(hot, w), len(hot) - 1)
