@@ -317,7 +317,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     dropped = materialise(
         spark, similar_groups(spark, docs, **options).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")), "groups"
     )
-    lost = dropped.where("doc_id <> c").select("doc_id")
+    lost = dropped.where("doc_id <> c").select("doc_id").hint("merge")  # grows with the corpus: never broadcast
     kept = docs.join(lost, "doc_id", "left_anti")
     again = dropped.where("n > 1 and doc_id = c").select("doc_id")
     if again.isEmpty():
