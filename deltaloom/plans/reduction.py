@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from deltaloom.config import EngineConfig
 from deltaloom.functions import codecs
 from deltaloom.operators import reduce as ops
+from deltaloom.sources.shared import written
 
 
 @dataclass
@@ -26,9 +27,12 @@ class Reduction:
 
 
 def reduce(blobs: DataFrame, config: EngineConfig) -> Reduction:
+    """Chunks with their digests and sketches are written once, as each is read several times."""
     chunks = ops.fixed_chunks(blobs, config.normal_size) if config.chunker == "fixed" else ops.content_chunks(blobs, config)
-    deduped = ops.dedup(chunks.drop("bits"), config)
+    chunks = written(chunks.drop("bits").withColumn("fp", F.sha2("data", 256)), "chunks")
+    deduped = ops.dedup(chunks, config, F.col("fp"))
     sketched = ops.sketches(deduped.where("not is_dup"), config).select("blob_id", "ord", "size", "data", "bits", "features", "sfp")
+    sketched = written(sketched, "sketched")
     scope = config.scope
     candidates = ops.cluster_base(sketched, scope or ("blob_id",)) if config.index == "cluster" else ops.latest_base(ops.index_keys(sketched, scope), scope)
     return Reduction(deduped, sketched, candidates, ops.encode(sketched, candidates, config), config)
