@@ -16,6 +16,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PIECE = re.compile(f" ?[{_LETTERS}]+(?![^{_WS}.,!?;:])| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Texts that are more than words with single spaces or line ends between them.
 _ODD = "[WS][WS]|^[WS]|[WS]$|[\\t\\v\\f\\rWX\\x00\\x01]".replace("WS", _WS).replace("WX", _WS[4:])
+_MARKS = frozenset(".,!?;:")
 _CACHE_PIECES = 250_000
 
 
@@ -49,20 +51,32 @@ def _byte_letters() -> dict[int, int]:
 
 
 class _Pieces(dict):
-    """Raw ids of pieces, by the library where they are not known yet. One run of letters goes straight to its model."""
+    """Raw ids of pieces, by the library where they are not known yet. One run of letters or digits goes straight to its model."""
 
     def __init__(self, tokenizer, dtype: np.dtype):
         self.tokenizer, self.dtype = tokenizer, dtype
         self.model, self.letters = tokenizer.model, _byte_letters()
+        self.space, self.code = chr(self.letters[32]), "H" if dtype.itemsize == 2 else "I"
 
     def __missing__(self, piece: str) -> bytes:
-        if _WORD.fullmatch(piece):
+        run = piece.removeprefix(" ")
+        if run.isascii() and (run.isalpha() or run.isdigit()):
+            ids = [t.id for t in self.model.tokenize(piece.replace(" ", self.space))]
+        elif _WORD.fullmatch(piece):
             ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
         else:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        found = self[piece] = np.array(ids, dtype=self.dtype).tobytes()
+        found = self[piece] = array(self.code, ids).tobytes()
         return found
 
+    def word(self, word: str) -> bytes:
+        """Raw ids of a space and a word, as whole() gives them; plain words, with a mark after them or not, need no search."""
+        if word.isalpha() and word.isascii():
+            return self[" " + word]
+        if word[-1:] in _MARKS and word.isascii() and word[:-1].isalpha():
+            return self[" " + word[:-1]] + self[word[-1]]
+        return self.whole(" " + word)
+
     def whole(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, _PIECE.findall(text)))
 
@@ -90,7 +104,7 @@ def _plain(texts: pa.Array, pieces: _Pieces) -> list[bytes]:
     words = cut.flatten().dictionary_encode()
     start = {"\x00": "\n", "\x01": ""}
     found = [
-        pieces.whole(start[w[0]] + w[1:] if w[0] in start else " " + w) for w in words.dictionary.to_pylist()
+        pieces.whole(start[w[0]] + w[1:]) if w[0] in start else pieces.word(w) for w in words.dictionary.to_pylist()
     ]
     ids, width = np.frombuffer(b"".join(found), pieces.dtype), pieces.dtype.itemsize
     sizes = np.array([len(f) for f in found], dtype=np.int64) // width
