@@ -38,7 +38,9 @@ _PIECE = re.compile(f" ?[{_LETTERS}]+(?![^{_WS}.,!?;:])| ?[^{_WS}]+|[{_WS}]+(?![
 #: Texts that are more than words with single spaces or line ends between them.
 _ODD = "[WS][WS]|^[WS]|[WS]$|[\\t\\v\\f\\rWX\\x00\\x01]".replace("WS", _WS).replace("WX", _WS[4:])
 _MARKS = frozenset(".,!?;:")
-_CACHE_PIECES = 250_000
+_CACHE_PIECES, _CACHE_WORDS = 50_000, 400_000
+#: What a word of a text that is not odd starts with in place of a space: at a line's start, at the text's.
+_STARTS = {"\x00": "\n", "\x01": ""}
 
 
 _WORD = re.compile(f" ?[{_LETTERS}]+")
@@ -61,28 +63,68 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         run = piece.removeprefix(" ")
         if run.isascii() and (run.isalpha() or run.isdigit()):
-            ids = [t.id for t in self.model.tokenize(piece.replace(" ", self.space))]
-        elif _WORD.fullmatch(piece):
+            found = self[piece] = self.run(piece.replace(" ", self.space))
+            return found
+        if _WORD.fullmatch(piece):
             ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
         else:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
         found = self[piece] = array(self.code, ids).tobytes()
         return found
 
+    def run(self, run: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(run)]).tobytes()
+
     def word(self, word: str) -> bytes:
         """Raw ids of a space and a word, as whole() gives them; plain words, with a mark after them or not, need no search."""
         if word.isalpha() and word.isascii():
-            return self[" " + word]
+            return self.run(self.space + word)
         if word[-1:] in _MARKS and word.isascii() and word[:-1].isalpha():
-            return self[" " + word[:-1]] + self[word[-1]]
+            return self.run(self.space + word[:-1]) + self[word[-1]]
+        if word[:1] in _STARTS:
+            return self.whole(_STARTS[word[0]] + word[1:])
         return self.whole(" " + word)
 
     def whole(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, _PIECE.findall(text)))
 
 
+class _Words:
+    """Ids of the words met so far, in flat arrays: no object is kept for a word. Beyond the limit, words not met since the
+    last time go, and all go if that isn't enough; they are encoded anew when they come again."""
+
+    def __init__(self, pieces: _Pieces):
+        self.pieces = pieces
+        self.keep(pa.array([], pa.string()), np.zeros(0, pieces.dtype), np.zeros(0, np.int64))
+
+    def keep(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.words, self.ids, self.sizes = words, ids, sizes
+        self.begins = np.cumsum(sizes) - sizes
+        self.met = np.zeros(len(words), dtype=bool)
+
+    def shrink(self) -> None:
+        stay = self.met if np.count_nonzero(self.met) < _CACHE_WORDS // 2 else np.zeros(len(self.met), dtype=bool)
+        self.keep(self.words.filter(pa.array(stay)), self.ids[np.repeat(stay, self.sizes)], self.sizes[stay])
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each of the distinct words is; those not met before are added."""
+        if len(self.words) > _CACHE_WORDS:
+            self.shrink()
+        at, n = pc.index_in(words, value_set=self.words), len(self.words)
+        new = words.filter(at.is_null())
+        found = [self.pieces.word(w) for w in new.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.pieces.dtype.itemsize
+        met = self.met
+        self.keep(pa.concat_arrays([self.words, new]), np.r_[self.ids, np.frombuffer(b"".join(found), self.pieces.dtype)], np.r_[self.sizes, sizes])
+        places = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        places[places < 0] = np.arange(n, n + len(new))
+        self.met[:n] = met
+        self.met[places] = True
+        return places
+
+
 def _tokenizer(path: str):
-    """(tokenizer, special strings, dtype of ids, pieces), loaded once for each worker."""
+    """(tokenizer, special strings, dtype of ids, words), loaded once for each worker."""
     cache = worker_cache("tokenbin")
     if path not in cache:
         import os
@@ -93,23 +135,18 @@ def _tokenizer(path: str):
         tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         dtype = np.dtype("<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        cache[path] = (tokenizer, special, dtype, _Pieces(tokenizer, dtype))
+        cache[path] = (tokenizer, special, dtype, _Words(_Pieces(tokenizer, dtype)))
     return cache[path]
 
 
-def _plain(texts: pa.Array, pieces: _Pieces) -> list[bytes]:
+def _plain(texts: pa.Array, known: _Words) -> list[bytes]:
     """Raw ids of texts that are not odd: each distinct word of the batch is looked up once."""
     marked = pc.binary_join_element_wise("\x01", pc.replace_substring(texts, "\n", " \x00"), "")
     cut = pc.split_pattern(marked, " ")
     words = cut.flatten().dictionary_encode()
-    start = {"\x00": "\n", "\x01": ""}
-    found = [
-        pieces.whole(start[w[0]] + w[1:]) if w[0] in start else pieces.word(w) for w in words.dictionary.to_pylist()
-    ]
-    ids, width = np.frombuffer(b"".join(found), pieces.dtype), pieces.dtype.itemsize
-    sizes = np.array([len(f) for f in found], dtype=np.int64) // width
-    begins = np.cumsum(sizes) - sizes
-    codes, bounds = words.indices.to_numpy(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
+    codes = known.places(words.dictionary)[words.indices.to_numpy()]
+    ids, sizes, begins, width = known.ids, known.sizes, known.begins, known.ids.dtype.itemsize
+    bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
     out = []
     for i in range(0, len(texts), 512):
         at = bounds[i : i + 513]
@@ -128,7 +165,8 @@ def encode(path: str, texts: pa.Array | list[str | None], end_id: int = 0) -> li
     The library encodes each distinct piece once and the ids of a text are joined from its pieces, which is
     what it returns for the whole text; texts with an added token's string go through it whole.
     """
-    tokenizer, special, dtype, pieces = _tokenizer(path)
+    tokenizer, special, dtype, known = _tokenizer(path)
+    pieces = known.pieces
     end = np.array([end_id], dtype=dtype).tobytes()
     texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
     if len(pieces) > _CACHE_PIECES:
@@ -137,7 +175,7 @@ def encode(path: str, texts: pa.Array | list[str | None], end_id: int = 0) -> li
     for s in special:
         odd = pc.or_(odd, pc.match_substring(texts, s))
     plain = pc.invert(odd)
-    fast = iter(_plain(texts.filter(plain), pieces) if pc.any(plain).as_py() else [])
+    fast = iter(_plain(texts.filter(plain), known) if pc.any(plain).as_py() else [])
     slow = iter(texts.filter(odd).to_pylist())
     out = []
     for is_odd in odd.to_pylist():
