@@ -22,18 +22,15 @@ from deltaloom.llm.common import crc_mod, worker_cache
 TRAIN_ROWS = 600
 ROUNDS = 4
 UNDETERMINED = "und"
-_WORD = re.compile(r"[^\W\d_]+")
 _LONGEST = 24  # letters of a word that are scored together; longer runs are scored in such parts
+_WORD = re.compile(r"[^\W\d_]{1,%d}" % _LONGEST)
 _CACHE_WORDS = 250_000
 _FLOOR = 1e-7
 
 
 def words(text: str | None) -> list[str]:
     """Lower-cased runs of letters, cut into parts of at most _LONGEST letters."""
-    found = _WORD.findall((text or "").lower())
-    if any(len(w) > _LONGEST for w in found):
-        found = [w[i : i + _LONGEST] for w in found for i in range(0, len(w), _LONGEST)]
-    return found
+    return _WORD.findall((text or "").lower())
 
 
 def vocabulary(path: str) -> list[str]:
@@ -45,6 +42,12 @@ def vocabulary(path: str) -> list[str]:
     return sorted({p for p in pieces if p.strip().isalpha() and p == p.lower() and " " not in p[1:]})
 
 
+def prefix_tree(pieces: list[str]) -> dict[str, int]:
+    """Number of each piece; -1 for what only starts pieces, so that a search along a word can stop early."""
+    tree = {p[:k]: -1 for p in pieces for k in range(1, len(p))}
+    return tree | {p: i for i, p in enumerate(pieces)}
+
+
 @dataclass
 class Lattice:
     """Edges of the segmentation lattices of some words, ordered by end position."""
@@ -59,37 +62,46 @@ class Lattice:
 @dataclass
 class Model:
     langs: list[str]
-    pieces: dict[str, int]
+    tree: dict[str, int]
     probs: np.ndarray  # (pieces + 1, langs); the last row is any single letter outside the vocabulary
     key: tuple = field(default=())
 
     def log_probs(self, found: list[str]) -> np.ndarray:
         """log probability of each word in each language, summed over its segmentations."""
-        lattice = build_lattice(found, self.pieces)
+        lattice = build_lattice(found, self.tree, len(self.probs) - 1)
         alpha = forward(lattice, self.probs)
         return np.log(alpha[lattice.length, np.arange(len(found))])
 
 
-def build_lattice(found: list[str], pieces: dict[str, int], longest: int | None = None) -> Lattice:
-    longest = longest or max(map(len, pieces), default=1)
-    unknown = len(pieces)
-    rows: list[tuple[int, int, int, int]] = []
+def build_lattice(found: list[str], tree: dict[str, int], unknown: int) -> Lattice:
+    """unknown: the number that a single letter outside the vocabulary gets."""
+    # An edge is one number, (end, word, start, piece) from its highest part to its lowest.
+    length_radix, piece_radix = max(map(len, found), default=0) + 2, unknown + 1
+    word_step = length_radix * piece_radix
+    end_step = max(len(found), 1) * word_step
+    packed: list[int] = []
+    add, get = packed.append, tree.get
     for w, text in enumerate(found):
         text = " " + text
         n = len(text)
         for i in range(n):
+            own = w * word_step + i * piece_radix
             known = False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                if (p := pieces.get(text[i:j])) is not None:
-                    rows.append((j, w, i, p))
+            for j in range(i + 1, n + 1):
+                if (p := get(text[i:j])) is None:
+                    break
+                if p >= 0:
+                    add(own + j * end_step + p)
                     known = known or j == i + 1
             if not known:
-                rows.append((i + 1, w, i, unknown))
-    edges = np.array(rows, dtype=np.int64).reshape(-1, 4)
-    edges = edges[np.argsort(edges[:, 0], kind="stable")]
+                add(own + (i + 1) * end_step + unknown)
+    edges = np.sort(np.array(packed, dtype=np.int64))
+    ends, edges = np.divmod(edges, end_step)
+    word, edges = np.divmod(edges, word_step)
+    start, piece = np.divmod(edges, piece_radix)
     length = np.array([len(w) + 1 for w in found], dtype=np.int64)
-    bounds = np.searchsorted(edges[:, 0], np.arange(length.max(initial=0) + 2)).tolist()
-    return Lattice(edges[:, 1], edges[:, 2], edges[:, 3], bounds, length)
+    bounds = np.searchsorted(ends, np.arange(length.max(initial=0) + 2)).tolist()
+    return Lattice(word, start, piece, bounds, length)
 
 
 def forward(lattice: Lattice, probs: np.ndarray) -> np.ndarray:
@@ -99,7 +111,10 @@ def forward(lattice: Lattice, probs: np.ndarray) -> np.ndarray:
     alpha[0] = 1
     for j in range(1, len(lattice.bounds) - 1):
         s = slice(lattice.bounds[j], lattice.bounds[j + 1])
-        np.add.at(alpha[j], lattice.word[s], alpha[lattice.start[s], lattice.word[s]] * probs[lattice.piece[s]])
+        own = lattice.word[s]  # in ascending order
+        if len(own):
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            alpha[j, own[first]] = np.add.reduceat(alpha[lattice.start[s], own] * probs[lattice.piece[s]], first)
     return alpha
 
 
@@ -147,22 +162,22 @@ def train(
     ).where("lang is not null")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     langs = sorted(sizes)
-    pieces = {p: i for i, p in enumerate(vocabulary(vocabulary_path))}
+    pieces = vocabulary(vocabulary_path)
+    tree = prefix_tree(pieces)
     if not langs:
-        return Model([], pieces, np.zeros((len(pieces) + 1, 0)))
+        return Model([], tree, np.zeros((len(pieces) + 1, 0)))
     taken = F.lit(False)
     for lang in langs:
         share = min(1.0, rows / sizes[lang])
         taken = taken | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)))
     sample = labelled.where(taken).select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long")
     table = sample.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("lang", "word").toPandas()
-    longest = max(map(len, pieces))
     probs = np.full((len(pieces) + 1, len(langs)), 1.0 / (len(pieces) + 1))
     for k, lang in enumerate(langs):
         own = table[table.lang == lang]
         if len(own):
-            probs[:, k] = fit_language(build_lattice(own.word.tolist(), pieces, longest), own.n.to_numpy(float), len(pieces))
-    return Model(langs, pieces, probs, (len(langs), len(table), float(probs.sum())))
+            probs[:, k] = fit_language(build_lattice(own.word.tolist(), tree, len(pieces)), own.n.to_numpy(float), len(pieces))
+    return Model(langs, tree, probs, (len(langs), len(table), float(probs.sum())))
 
 
 def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -170,25 +185,29 @@ def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], lis
     cache = worker_cache("langid")
     if model.key not in cache:
         cache.clear()
-    known = cache.setdefault(model.key, {})
-    counted = [Counter(words(t)) for t in texts]
-    if len(known) > _CACHE_WORDS:
-        known.clear()
-    new = sorted({w for c in counted for w in c if w not in known}) if model.langs else []
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        known.update(zip(part, model.log_probs(part)))
-    langs, scores = [], []
-    for c in counted:
-        if not c or not model.langs:
-            langs.append(UNDETERMINED)
-            scores.append(0.0)
-            continue
-        total = np.fromiter(c.values(), dtype=float, count=len(c)) @ np.array([known[w] for w in c])
-        total = np.exp(total - total.max())
-        best = int(total.argmax())
-        langs.append(model.langs[best])
-        scores.append(float(total[best] / total.sum()))
+    if model.key not in cache or len(cache[model.key][0]) > _CACHE_WORDS:
+        cache.clear()
+        cache[model.key] = ({}, np.zeros((0, len(model.langs))))
+    known, logs = cache[model.key]
+    counted = [Counter(words(t)) if model.langs else Counter() for t in texts]
+    new = list(dict.fromkeys(w for c in counted for w in c if w not in known))
+    if new:
+        known.update(zip(new, range(len(known), len(known) + len(new))))
+        logs = np.concatenate([logs, *(model.log_probs(new[i : i + 20_000]) for i in range(0, len(new), 20_000))])
+        cache[model.key] = (known, logs)
+    langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+    rows = [i for i, c in enumerate(counted) if c]
+    if not rows:
+        return langs, scores
+    at = np.array([known[w] for i in rows for w in counted[i]])
+    n = np.array([k for i in rows for k in counted[i].values()], dtype=float)
+    ends = np.cumsum([len(counted[i]) for i in rows])
+    totals = np.add.reduceat(logs[at] * n[:, None], np.r_[0, ends[:-1]])
+    totals = np.exp(totals - totals.max(axis=1, keepdims=True))
+    best = totals.argmax(axis=1)
+    share = totals[np.arange(len(rows)), best] / totals.sum(axis=1)
+    for i, b, x in zip(rows, best.tolist(), share.tolist()):
+        langs[i], scores[i] = model.langs[b], x
     return langs, scores
 
 

@@ -247,8 +247,8 @@ def test_language_models(spark):
         ways = [1.0] + [0.0] * len(word)
         for j in range(1, len(word) + 1):
             for i in range(j):
-                p = model.pieces.get(word[i:j])
-                ways[j] += ways[i] * (model.probs[p, 0] if p is not None else 0.1 if j - i == 1 and word[i] not in model.pieces else 0)
+                p = model.tree.get(word[i:j])
+                ways[j] += ways[i] * (model.probs[p, 0] if p is not None else 0.1 if j - i == 1 and word[i] not in model.tree else 0)
         return ways[-1]
 
     for w in ("a", "aab", "cab", "aaaa"):
