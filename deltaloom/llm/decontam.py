@@ -103,13 +103,16 @@ class Index:
             sampled = (self.places[walk][None] * (3 * lengths)[:, None, None]).astype(np.int64)  # (n, SAMPLES, BITS)
             at = np.zeros(n, dtype=np.int64)
             keys = np.broadcast_to(lengths.astype(np.uint64)[:, None], (n, SAMPLES)).copy()
+            # (step, window, sample) once each, by step
+            codes = np.sort((sampled * (n * SAMPLES) + np.arange(n * SAMPLES).reshape(n, SAMPLES, 1)).ravel())
+            codes = codes[np.r_[True, codes[1:] != codes[:-1]][: len(codes)]]
+            stops = np.searchsorted(codes, np.arange(steps + 1) * (n * SAMPLES))
             for t in range(steps):
                 symbol = padded[rows, np.minimum(at, width)]
                 symbol = np.where(at < lengths, symbol, 0)
                 coin = _mix(symbol, self.seed + walk * 100_003 + t)
-                hit = (sampled == t).any(axis=2)
-                if hit.any():
-                    x, y = np.nonzero(hit)
+                if stops[t] < stops[t + 1]:
+                    x, y = np.divmod(codes[stops[t] : stops[t + 1]] - t * (n * SAMPLES), SAMPLES)
                     keys[x, y] = _mix(keys[x, y] * np.uint64(31) + symbol[x].astype(np.uint64), t + 1)
                 at += (coin >> np.uint64(17) & np.uint64(1)).astype(np.int64)
             out[:, walk * SAMPLES : (walk + 1) * SAMPLES] = keys
