@@ -181,19 +181,39 @@ def near_duplicates(
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The wide fingerprint: bits, blocks a document is dealt under, and shingle words, for a similarity of 0.8.
-WIDE_BITS, WIDE_BLOCKS, WIDE_WORDS, SIMILARITY = 256, 21, 5, 0.8
+#: The wide fingerprint: bits, keys a document is dealt under and bits of each, and shingle words, for a similarity of 0.8.
+WIDE_BITS, WIDE_KEYS, KEY_BITS, WIDE_WORDS, SIMILARITY = 256, 48, 10, 5, 0.8
+#: Standard deviations above the expected distance at which a pair is still a candidate.
+DEVIATIONS = 4
+WIDE_LIMIT = 32768
 _WORDS = ("w0", "w1", "w2", "w3")
+_KEYED = np.stack([np.random.default_rng([SEED, k]).permutation(WIDE_BITS)[:KEY_BITS] for k in range(WIDE_KEYS)])
+
+
+def _shingles(text: str | None, size: int) -> set[bytes]:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) < size:
+        return {b" ".join(words)} if words else set()
+    return {b" ".join(s) for s in zip(*(words[i:] for i in range(size)))}
+
+
+def shingle_set(text: str | None, size: int = WIDE_WORDS) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles."""
+    from xxhash import xxh3_64_intdigest
+
+    return np.unique(np.array([xxh3_64_intdigest(s, 3) for s in _shingles(text, size)], dtype=np.uint64))
 
 
 def wide_fingerprint(text: str | None, size: int = WIDE_WORDS) -> np.ndarray:
     """Four 64-bit words: a bit is set where at least half of the distinct shingles' hashes have it."""
+    return _wide(sorted(_shingles(text, size)))
+
+
+def _wide(shingles: list[bytes]) -> np.ndarray:
     from xxhash import xxh3_128_digest
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    if not shingles:
         return np.zeros(4, dtype=np.int64)
-    shingles = [b" ".join(words)] if len(words) < size else list({b" ".join(s) for s in zip(*(words[i:] for i in range(size)))})
     counts = np.zeros(WIDE_BITS, dtype=np.int64)
     for i in range(0, len(shingles), _SLICE):
         raw = b"".join([xxh3_128_digest(s, 1) + xxh3_128_digest(s, 2) for s in shingles[i : i + _SLICE]])
@@ -201,68 +221,151 @@ def wide_fingerprint(text: str | None, size: int = WIDE_WORDS) -> np.ndarray:
     return np.packbits(2 * counts >= len(shingles)).view(np.int64)
 
 
-def max_distance(similarity: float = SIMILARITY, bits: int = WIDE_BITS) -> int:
-    """Expected number of differing bits of two sets of equal size with this Jaccard similarity, rounded up."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(np.ceil(bits * np.arccos(cosine) / np.pi))
+def max_distance(similarity: float = SIMILARITY, bits: int = WIDE_BITS, deviations: float = DEVIATIONS) -> int:
+    """Differing bits of two sets of equal size with this Jaccard similarity: the mean and so many deviations, rounded up."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(bits * p + deviations * np.sqrt(bits * p * (1 - p))))
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WIDE_WORDS) -> DataFrame:
+    """doc_id, the digest of the set of shingles (s0, s1) and the fingerprint's words."""
+
     def run(batches):
+        from xxhash import xxh3_128_digest
+
         for batch in batches:
             texts = (t for i in range(0, batch.num_rows, 256) for t in batch.column(1).slice(i, 256).to_pylist())
-            fps = np.array([wide_fingerprint(t, size) for t in texts], dtype=np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, k].copy()) for k in range(4)]], names=["doc_id", *_WORDS])
+            found = np.zeros((batch.num_rows, 6), dtype=np.int64)
+            for row, text in zip(found, texts):
+                shingles = sorted(_shingles(text, size))
+                row[:2] = np.frombuffer(xxh3_128_digest(b"\n".join(shingles), 5), np.int64)
+                row[2:] = _wide(shingles)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, k].copy()) for k in range(6)]], names=["doc_id", "s0", "s1", *_WORDS])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, w0 long, w1 long, w2 long, w3 long"
+        run, "doc_id long, s0 long, s1 long, w0 long, w1 long, w2 long, w3 long"
     )
 
 
+def _deal(batches):
+    """A row (bucket, id, words) for each key of a row (id, words)."""
+    places = 1 << np.arange(KEY_BITS)
+    for batch in batches:
+        for i in range(0, batch.num_rows, 4096):
+            ids, *words = (c.to_numpy(zero_copy_only=False) for c in batch.slice(i, 4096).columns)
+            bits = np.unpackbits(np.stack(words, axis=1).view(np.uint8), axis=1)
+            keys = np.stack([bits[:, own] @ places for own in _KEYED], axis=1) * WIDE_KEYS + np.arange(WIDE_KEYS)
+            columns = [keys.ravel(), *(np.repeat(c, WIDE_KEYS) for c in (ids, *words))]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["bucket", "id", *_WORDS])
+
+
+def _runs(batches, emit):
+    """Calls emit(columns, starts) so that each run of one value in the first column is met whole; starts hold its end too."""
+    rest = None
+    for batch in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        rows = rows if rest is None else [np.concatenate(p) for p in zip(rest, rows)]
+        if not len(rows[0]):
+            continue
+        starts = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
+        yield from emit(rows, starts)
+        rest = [r[starts[-1] :] for r in rows]
+    if rest is not None:
+        yield from emit(rest, [0, len(rest[0])])
+
+
+def _stars(found):
+    if found:
+        nodes, low = (np.concatenate(c) for c in zip(*found))
+        keep = nodes != low
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(low[keep])], names=["u", "v"])
+
+
 def _wide_forest(most: int):
     """Links (ids of fingerprints at most ``most`` bits apart) within runs of one bucket; rows (bucket, id, words)."""
 
     def compare(ids, fps):
-        """Least linked neighbours first: a spanning forest, from blocks of 256 x all."""
-        held = []
-        for i in range(0, len(ids), 256):
-            left, right = fps[i : i + 256], fps[i:]
-            apart = np.bitwise_count(left[:, None, 0] ^ right[None, :, 0]).astype(np.uint16)
-            x, y = np.nonzero(apart <= min(most, 32))  # at most 32 of 64: chance has half of the pairs here
-            for k in range(1, 4):
-                d = apart[x, y] if k == 1 else d
-                d = d + np.bitwise_count(left[x, k] ^ right[y, k])
-                near = d <= most
-                x, y, d = x[near], y[near], d[near]
-            x, y = ids[i : i + 256][x], ids[i:][y]
-            held.append(star_labels(x[x != y], y[x != y]))
+        """Least linked neighbours first: a spanning forest, from blocks of some rows x all."""
+        held, step = [], max(1, min(256, (1 << 21) // len(ids)))
+        for i in range(0, len(ids), step):
+            left, right = fps[i : i + step], fps[i:]
+            apart = sum((np.bitwise_count(left[:, None, k] ^ right[None, :, k]) for k in (1, 2)), np.bitwise_count(left[:, None, 0] ^ right[None, :, 0]))
+            x, y = np.nonzero(apart <= most)  # three words: at most 192, within a byte
+            near = apart[x, y].astype(np.int64) + np.bitwise_count(left[x, 3] ^ right[y, 3]) <= most
+            x, y = ids[i : i + step][x[near]], ids[i:][y[near]]
+            held.append((x[x != y], y[x != y]))
+            if sum(len(h[0]) for h in held) > 1 << 20:
+                held = [star_labels(*(np.concatenate(c) for c in zip(*held)))]
         return star_labels(*(np.concatenate(c) for c in zip(*held)))
 
-    def run(batches):
-        rest = None
-        for batch in batches:
-            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            rows = rows if rest is None else [np.concatenate(p) for p in zip(rest, rows)]
-            if not len(rows[0]):
-                continue
-            starts = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
-            yield from emit(rows, starts)
-            rest = [r[starts[-1] :] for r in rows]
-        if rest is not None:
-            yield from emit(rest, [0, len(rest[0])])
+    def emit(rows, starts):
+        found = []
+        for a, b in zip(starts[:-1], starts[1:]):
+            if b - a > 1:
+                found.append(compare(rows[1][a:b], np.stack([r[a:b] for r in rows[2:]], axis=1).view(np.uint64)))
+        yield from _stars(found)
+
+    return lambda batches: _runs(batches, emit)
+
+
+def exact_links(ids: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and least nodes of the components of all pairs of sets with a Jaccard similarity of at least ``similarity``.
+
+    Breadth first: a set meets those not reached yet, so a group of near copies costs about one pass for each of them at most.
+    """
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    ends = np.cumsum(sizes)
+    left, u, v = np.ones(len(sets), dtype=bool), [], []
+    rest_flat, rest_owner = flat, owner
+    for root in range(len(sets)):
+        if not left[root]:
+            continue
+        queue, left[root] = [root], False
+        while queue and left.any():
+            i = queue.pop()
+            mark = np.zeros(len(values), dtype=bool)
+            mark[flat[ends[i] - sizes[i] : ends[i]]] = True
+            common = np.bincount(rest_owner[mark[rest_flat]], minlength=len(sets))
+            near = np.flatnonzero(left & (common >= similarity * (sizes + sizes[i] - common) - 1e-9) & (common > 0))
+            left[near] = False
+            queue.extend(near.tolist())
+            u.extend([ids[i]] * len(near))
+            v.extend(ids[near].tolist())
+            if 2 * sizes[left].sum() < len(rest_flat):
+                keep = left[rest_owner]
+                rest_flat, rest_owner = rest_flat[keep], rest_owner[keep]
+    return star_labels(np.array(u, dtype=np.int64), np.array(v, dtype=np.int64))
+
+
+def _verified(similarity: float):
+    """Exact links within runs of one bucket; rows (bucket, id, shingles as bytes)."""
 
     def emit(rows, starts):
         found = []
         for a, b in zip(starts[:-1], starts[1:]):
             if b - a > 1:
-                fps = np.stack([r[a:b] for r in rows[2:]], axis=1).view(np.uint64)
-                found.append(compare(rows[1][a:b], fps))
-        if found:
-            nodes, low = (np.concatenate(c) for c in zip(*found))
-            keep = nodes != low
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(low[keep])], names=["u", "v"])
+                found.append(exact_links(rows[1][a:b], [np.frombuffer(r, np.uint64) for r in rows[2][a:b]], similarity))
+        yield from _stars(found)
 
-    return run
+    return lambda batches: _runs(batches, emit)
+
+
+def _parted(spark: SparkSession, dealt: DataFrame, limit: int) -> DataFrame:
+    """Cuts the buckets of more than ``limit`` rows into parts by hash of the id, every two of which share a bucket."""
+    big = materialise(spark, dealt.groupBy("bucket").count().where(F.col("count") > limit), "big")
+    if big.isEmpty():
+        return dealt
+    columns = [c for c in dealt.columns if c != "bucket"]
+    big = big.select("bucket", F.ceil(2 * F.col("count") / limit).cast("long").alias("parts"))
+    dealt = dealt.join(big, "bucket", "left")
+    part, parts = F.pmod(F.xxhash64("id"), F.col("parts")), F.col("parts")
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("long"), parts - 1),
+        lambda o: F.xxhash64("bucket", F.least(part, o), F.greatest(part, o)),
+    )
+    return dealt.select(F.explode(F.coalesce(pairs, F.array(F.col("bucket")))).alias("bucket"), *columns)
 
 
 def similar_groups(
@@ -272,41 +375,39 @@ def similar_groups(
     text_col: str = "text",
     size: int = WIDE_WORDS,
     similarity: float = SIMILARITY,
-    blocks: int = WIDE_BLOCKS,
-    limit: int = LIMIT,
+    limit: int = WIDE_LIMIT,
+    exact_limit: int = LIMIT,
 ) -> DataFrame:
-    """(doc_id, component_id) for documents whose sets of shingles are about as similar as given, by wide fingerprints.
-
-    Three bits of 64 stand for a similarity of about 0.97; at 0.8 about 38 of 256 bits differ. Two fingerprints that
-    close agree on one of 21 blocks with probability 0.96 (at 0.85: 0.99); they are joined on blocks and verified
-    by Hamming distance. Equal fingerprints count once. A bucket of more than ``limit`` fingerprints is cut
-    into parts by hash, and every two parts meet in a task of their own. Rows without an id are left out.
+    """(doc_id, component_id) for documents whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+
+    Candidates come from wide fingerprints: at 0.8 about 39 of 256 bits differ, and a pair is a candidate up to four
+    standard deviations more (62). Fingerprints meet if they agree on one of 48 seeded choices of 10 bits: at 0.8 by
+    calculation with probability 0.9994, at 0.85 0.99994. Within a component of candidates every pair that matters
+    is then decided by the sets themselves, so no pair below the similarity is linked. Equal sets count once. A
+    bucket of more than ``limit`` fingerprints (a component of more than ``exact_limit`` sets) is cut into parts by
+    hash, and every two parts meet in a task of their own. Rows without an id are left out.
     """
-    fps = materialise(spark, wide_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, size), "fingerprints")
-    nodes = materialise(spark, fps.groupBy(*_WORDS).agg(F.min("doc_id").alias("least")), "classes")
-    bounds = np.linspace(0, WIDE_BITS, blocks + 1).astype(int)
-    keys = []
-    for b, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
-        word, at = divmod(int(lo), 64)
-        value = F.shiftrightunsigned(F.col(_WORDS[word]), at)
-        if (hi - 1) // 64 > word:
-            value = value.bitwiseOR(F.shiftleft(F.col(_WORDS[word + 1]), 64 - at))
-        keys.append((value.bitwiseAND(F.lit((1 << int(hi - lo)) - 1))) * blocks + b)
-    dealt = nodes.select(F.explode(F.array(*keys)).alias("bucket"), F.col("least").alias("id"), *_WORDS)
-    big = materialise(spark, dealt.groupBy("bucket").count().where(F.col("count") > limit), "big")
-    if not big.isEmpty():
-        big = big.select("bucket", F.ceil(2 * F.col("count") / limit).cast("long").alias("parts"))
-        dealt = dealt.join(big, "bucket", "left")
-        part, parts = F.pmod(F.xxhash64("id"), F.col("parts")), F.col("parts")
-        pairs = F.transform(
-            F.sequence(F.lit(0).cast("long"), parts - 1),
-            lambda o: F.xxhash64("bucket", F.least(part, o), F.greatest(part, o)),
-        )
-        dealt = dealt.select(F.explode(F.coalesce(pairs, F.array(F.col("bucket")))).alias("bucket"), "id", *_WORDS)
-    edges = dealt.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_wide_forest(max_distance(similarity)), "u long, v long")
+    docs = docs.where(F.col(id_col).isNotNull())
+    fps = materialise(spark, wide_fingerprints(docs, id_col, text_col, size), "fingerprints")
+    nodes = fps.groupBy("s0", "s1").agg(F.min("doc_id").alias("least"), *[F.first(w).alias(w) for w in _WORDS])
+    nodes = materialise(spark, nodes, "classes")
+    dealt = nodes.select(F.col("least").alias("id"), *_WORDS).mapInArrow(_deal, "bucket long, id long, " + ", ".join(f"{w} long" for w in _WORDS))
+    dealt = _parted(spark, dealt, limit)
+    maybe = dealt.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_wide_forest(max_distance(similarity)), "u long, v long")
+    maybe = materialise(spark, connected_components(spark, maybe).select(F.col("node").alias("id"), F.col("root").alias("bucket")), "candidates")
+
+    def hashed(batches):
+        for batch in batches:
+            sets = [shingle_set(t, size).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["bucket", "id", "shingles"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(_parted(spark, maybe, exact_limit).hint("merge"), "id").select("bucket", "id", "text")
+    sets = texts.mapInArrow(hashed, "bucket long, id long, shingles binary").repartition("bucket").sortWithinPartitions("bucket", "id")
+    edges = sets.mapInArrow(_verified(similarity), "u long, v long")
     roots = connected_components(spark, edges).withColumnsRenamed({"node": "least", "root": "component_id"})
-    labels = nodes.join(roots, "least", "left").select(*_WORDS, F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(materialise(spark, labels, "labels"), list(_WORDS)).select("doc_id", "component_id")
+    labels = nodes.join(roots, "least", "left").select("s0", "s1", F.coalesce("component_id", "least").alias("component_id"))
+    return fps.join(materialise(spark, labels, "labels"), ["s0", "s1"]).select("doc_id", "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:

@@ -85,6 +85,22 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5]
 
 
+@pytest.mark.parametrize("limits", [{}, {"limit": 5, "exact_limit": 5}])
+def test_groups_equal_exact_similarity(spark, limits):
+    rows = [*ODD]
+    for k in range(60):
+        words, r = prose(60 + 5 * k, 3000 + k).split(), random.Random(k)
+        for j in range(5):
+            own = list(words)
+            for _ in range(r.randrange(1, 2 + len(words) // 30)):
+                own[r.randrange(len(own))] = f"new{r.randrange(1000)}"
+            rows.append((1000 + 10 * k + j, " ".join(own)))
+    sets = {i: set(simhash.shingle_set(t).tolist()) for i, t in rows if i is not None}
+    links = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    got = simhash.similar_groups(spark, documents(spark, rows), **limits).distinct().collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == components(links, sets)
+
+
 def test_decontamination_equals_brute_force(spark):
     items = [(k, prose(20 + 3 * k, 900 + k)) for k in range(6)] + [(90, "too short"), (91, None)]
     rows = [*ODD]
