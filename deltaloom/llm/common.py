@@ -6,11 +6,11 @@ import os
 import tempfile
 import uuid
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaloom.sources.components import connected_components, star_labels  # noqa: F401
+
 _OWN: dict[str, str] = {}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,67 +72,3 @@ def lower_ascii(column):
 def crc_mod(column, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
-
-
-def star_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes and the least node of each one's component, for edges a-b held in memory."""
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        while not np.array_equal(new, hop := new[new]):
-            new = hop
-        if np.array_equal(new, label):
-            return nodes, nodes[label]
-        label = new
-
-
-def _contract(batches):
-    """Replaces each million edges of a partition by stars with the same components."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def flush():
-        nodes, low = star_labels(*(np.concatenate(c) for c in zip(*held)))
-        keep = nodes != low
-        return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(low[keep])], names=["u", "v"])
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            size += batch.num_rows
-        if size >= 1_000_000:
-            yield flush()
-            held, size = [], 0
-    if held:
-        yield flush()
-
-
-def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (u, v: long, both sides not null); root is the component's least node.
-
-    Partition-local contraction, then alternating large and small stars until the set of edges is a fixed
-    point (logarithmically many rounds). Hub rows meet only in partial aggregates and in plain shuffle joins,
-    which adaptive execution splits. Self-loops are ignored; an empty input gives an empty result.
-    """
-    edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
-    edges = materialise(spark, edges.mapInArrow(_contract, "u long, v long").distinct(), "edges")
-    stamp = None
-    while True:
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now[0] == 0 or now == stamp:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        stamp = now
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialise(spark, small.where("u <> v").distinct(), "edges")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from deltaloom.config import EngineConfig
 from deltaloom.functions import bytescan, codecs
+from deltaloom.sources.components import connected_components
 
 _CHUNK = "blob_id long, idx int, ord long, offset long, size int, data binary, bits long"
 
@@ -131,6 +132,22 @@ def cluster_base(sketched: DataFrame, scope: tuple[str, ...] = ("blob_id",)) ->
     return rows.groupBy(*scope).applyInPandas(run, "ord long, base_ord long, sf_pos int")
 
 
+def cluster_base_parts(sketched: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """cluster_base() over the whole scope: chunks without a common key, directly or by others, never meet in it.
+
+    So each connected component of shared keys is a stream of its own, serial by itself, and components run side by
+    side. A corpus whose chunks all hang together is one component, in one task.
+    """
+    spark = sketched.sparkSession
+    rows = sketched.where("sfp is not null").select(*scope, "ord", "sfp")
+    keys = rows.select(*scope, "ord", F.posexplode("sfp").alias("sf_pos", "sf_value"))
+    least = keys.groupBy(*scope, "sf_pos", "sf_value").agg(F.min("ord").alias("v"))
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"l.{c}")) for c in (*scope, "sf_pos", "sf_value")]
+    edges = keys.alias("k").join(least.alias("l"), same).select(F.col("k.ord").alias("u"), F.col("l.v").alias("v"))
+    roots = connected_components(spark, edges).select(F.col("node").alias("ord"), F.col("root").alias("part"))
+    return cluster_base(rows.join(roots, "ord").select("part", "ord", "sfp"), ("part",))
+
+
 def index_size(keys: DataFrame) -> DataFrame:
     return keys.groupBy("sf_pos").agg(F.countDistinct("sf_value").alias("n_keys"))
 

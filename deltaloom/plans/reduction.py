@@ -34,7 +34,7 @@ def reduce(blobs: DataFrame, config: EngineConfig) -> Reduction:
     sketched = ops.sketches(deduped.where("not is_dup"), config).select("blob_id", "ord", "size", "data", "bits", "features", "sfp")
     sketched = written(sketched, "sketched")
     scope = config.scope
-    candidates = ops.cluster_base(sketched, scope or ("blob_id",)) if config.index == "cluster" else ops.latest_base(ops.index_keys(sketched, scope), scope)
+    candidates = ops.cluster_base_parts(sketched, scope) if config.index == "cluster" else ops.latest_base(ops.index_keys(sketched, scope), scope)
     return Reduction(deduped, sketched, candidates, ops.encode(sketched, candidates, config), config)
 
 

@@ -59,6 +59,21 @@ def test_index_equals_simulation(spark, cluster):
     assert {x["ord"]: (x["base_ord"], x["sf_pos"]) for x in found.collect()} == simulate(rows, cluster)
 
 
+def test_cluster_bases_over_all_blobs(spark):
+    r = random.Random(3)
+    rows = [(o, [r.randrange(400) for _ in range(3)]) for o in range(500)]
+    df = spark.createDataFrame([(o % 90, o, k) for o, k in rows], "blob_id long, ord long, sfp array<long>").repartition(3)
+    assert {x["ord"]: (x["base_ord"], x["sf_pos"]) for x in ops.cluster_base_parts(df).collect()} == simulate(rows, True)
+
+
+def test_cluster_query_looks_everywhere(spark):
+    content = random.Random(4).randbytes(3000)
+    near = [(b, content[:-40] + bytes([b]) * 40) for b in range(6)]
+    df = spark.createDataFrame(near, "blob_id long, content binary")
+    found = reduction.reduce(df, replace(SMALL, index="cluster")).candidates.collect()
+    assert any(x["base_ord"] >> 20 != x["ord"] >> 20 for x in found)
+
+
 def test_choose_ties(spark):
     rows = [(10, 5, 4), (10, 5, 5), (10, 10, None), (10, 12, 11), (10, 9, None)]
     df = spark.createDataFrame(rows, "a int, b int, c int")
