@@ -44,8 +44,11 @@ def store(reduction: Reduction, path: str) -> None:
     reduction.deduped.select("blob_id", "idx", "first_ord", "size").write.parquet(f"{path}/recipes")
 
 
-def restore(spark, path: str, config: EngineConfig, most_depth: int = 1000) -> DataFrame:
-    """blob_id, content from a store. Delta chains are undone level by level: each round decodes chunks whose base is known."""
+def restore(spark, path: str, config: EngineConfig) -> DataFrame:
+    """blob_id, content from a store. Delta chains are undone level by level: each round decodes chunks whose base is known.
+
+    Chains may be of any depth; a chunk whose base is never decoded is an error.
+    """
     left = spark.read.parquet(f"{path}/chunks")
 
     @F.pandas_udf("binary")
@@ -64,13 +67,17 @@ def restore(spark, path: str, config: EngineConfig, most_depth: int = 1000) -> D
     none = F.lit(None).cast("binary")
     done = left.where("kind <> 'delta'").select("ord", plain("kind", "stored", "size", none).alias("data")).checkpoint()
     left = left.where("kind = 'delta'")
-    fresh = done
-    for _ in range(most_depth):
+    fresh, open_chunks, level = done, left.count(), 0
+    while open_chunks:
         base = fresh.select(F.col("ord").alias("base_ord"), F.col("data").alias("base"))
         fresh = left.join(base, "base_ord").select("ord", plain("kind", "stored", "size", "base").alias("data")).checkpoint()
-        if fresh.isEmpty():
-            break
+        decoded = fresh.count()
+        if not decoded:
+            raise ValueError(f"{open_chunks} chunks of the store have no decoded base")
+        open_chunks -= decoded
         done = done.unionByName(fresh)
+        if (level := level + 1) % 50 == 0:
+            done = done.checkpoint()
     recipes = spark.read.parquet(f"{path}/recipes").join(done.withColumnRenamed("ord", "first_ord"), "first_ord")
     parts = recipes.groupBy("blob_id").agg(F.sort_array(F.collect_list(F.struct("idx", "data"))).alias("parts"))
     return parts.select("blob_id", F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.data))").alias("content"))

@@ -30,6 +30,14 @@ def test_reduction_adds_up_and_restores(spark, tmp_path, options):
     assert got == want
 
 
+def test_restore_says_what_it_cannot_decode(spark, tmp_path):
+    path = str(tmp_path / "store")
+    spark.createDataFrame([(1, 9, 3, "delta", b"xyz"), (2, None, 3, "raw", b"abc")], "ord long, base_ord long, size int, kind string, stored binary").write.parquet(f"{path}/chunks")
+    spark.createDataFrame([(0, 0, 1, 3), (0, 1, 2, 3)], "blob_id long, idx int, first_ord long, size int").write.parquet(f"{path}/recipes")
+    with pytest.raises(ValueError, match="1 chunks"):
+        reduction.restore(spark, path, SMALL)
+
+
 def test_result_does_not_depend_on_partitions(spark):
     found = [sorted(reduction.reduce(blobs(spark, n), SMALL).candidates.collect()) for n in (1, 5)]
     assert found[0] == found[1] and found[0] and all(r["base_ord"] < r["ord"] for r in found[0])
