@@ -211,6 +211,27 @@ def test_raking_meets_its_targets(spark):
     assert mixing.mixed(spark, docs, seed=0).count() == out.kept.sum() and mixing.sample(spark, docs.limit(0)).count() == 0
 
 
+def test_every_source_has_its_marginal(spark):
+    rows = [(i, prose(40, i), "en", f"s{i % 250:03}") for i in range(750)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    wanted = {f"s{k:03}": 1 + k % 3 for k in range(250)}
+    wanted = {k: v / sum(wanted.values()) for k, v in wanted.items()}
+    here, there = (mixing.sample(spark, docs, {"source": wanted}, most_cells=n).toPandas().sort_values("doc_id") for n in (1000, 0))
+    drawn = here.assign(t=here.n_tokens * here.probability).groupby("source").t.sum()
+    assert all(abs(drawn[s] / drawn.sum() - v) < 1e-6 for s, v in wanted.items())
+    assert np.allclose(here.weight, there.weight) and np.allclose(here.probability, there.probability)
+
+
+def test_odd_cell_does_not_set_the_scale(spark):
+    rows = [(i, prose(150, i), "en", "s0") for i in range(600)] + [(9000, "a\nb\nc\nd\ne\nf", "fr", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.sample(spark, docs).toPandas().set_index("doc_id")
+    assert out.kept[:600].all() and out.probability[9000] > 1 and out.copies[9000] >= 1
+    assert mixing.mixed(spark, docs).count() == out.copies.sum()
+    half = mixing.sample(spark, docs, size=0.5).toPandas()
+    assert abs((half.n_tokens * half.probability).sum() / half.n_tokens.sum() - 0.5) < 1e-9
+
+
 def test_katz_equals_brute_force(spark):
     rows = [*ODD, *[(i, prose(30, i % 40) + " same end") for i in range(200, 330)]]
     got = sorted(tuple(r) for r in katz.score_documents(spark, documents(spark, rows).repartition(5)).collect() if r["doc_id"] is not None)
