@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.sources.shared import written
+from deltaloom.sources.shared import remove, table
 
 
 def star_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,11 +52,12 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v: long, both sides not null); root is the component's least node.
 
     Partition-local contraction, then alternating large and small stars until the set of edges is a fixed
-    point (logarithmically many rounds). Hub rows meet only in partial aggregates and in plain shuffle joins,
-    which adaptive execution splits. Self-loops are ignored; an empty input gives an empty result.
+    point (logarithmically many rounds). A hub's rows meet in partial aggregates, and in joins of two written tables:
+    both sides come straight from an exchange, so adaptive execution can cut a hub's partition into parts, which it
+    can't where an aggregate stands between. Self-loops are ignored; an empty input gives an empty result.
     """
     edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
-    edges = written(edges.mapInArrow(_contract, "u long, v long").distinct(), "edges")
+    edges, path = table(edges.mapInArrow(_contract, "u long, v long").distinct(), "edges")
     stamp = None
     while True:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -66,9 +67,12 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             )
         stamp = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), "edges")
+        least, least_path = table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large, large_path = table(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        lower, lower_path = table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(lower.select("u", F.col("m").alias("v")))
+        edges, next_path = table(small.where("u <> v").distinct(), "edges")
+        for done in (path, least_path, large_path, lower_path):
+            remove(spark, done)
+        path = next_path
