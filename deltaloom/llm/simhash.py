@@ -14,7 +14,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.llm.common import connected_components, materialise, star_labels
@@ -181,13 +181,14 @@ def near_duplicates(
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The wide fingerprint: bits, keys a document is dealt under and bits of each, and shingle words, for a similarity of 0.8.
-WIDE_BITS, WIDE_KEYS, KEY_BITS, WIDE_WORDS, SIMILARITY = 256, 48, 10, 5, 0.8
+#: The wide fingerprint: its bits and shingle words, for a similarity of 0.8.
+WIDE_BITS, WIDE_WORDS, SIMILARITY = 256, 5, 0.8
 #: Standard deviations above the expected distance at which a pair is still a candidate.
 DEVIATIONS = 4
+#: Share of the pairs at the similarity that may miss each other's buckets, and fingerprints of a bucket that chance alone brings together.
+MISSED, BUCKET = 1e-3, 512
 WIDE_LIMIT = 32768
 _WORDS = ("w0", "w1", "w2", "w3")
-_KEYED = np.stack([np.random.default_rng([SEED, k]).permutation(WIDE_BITS)[:KEY_BITS] for k in range(WIDE_KEYS)])
 
 
 def _shingles(text: str | None, size: int) -> set[bytes]:
@@ -204,6 +205,17 @@ def shingle_set(text: str | None, size: int = WIDE_WORDS) -> np.ndarray:
     return np.unique(np.array([xxh3_64_intdigest(s, 3) for s in _shingles(text, size)], dtype=np.uint64))
 
 
+def set_digest(text: str | None, size: int = WIDE_WORDS) -> tuple[int, int]:
+    """128 bits of the set of shingles, as two signed longs."""
+    return _digest(sorted(_shingles(text, size)))
+
+
+def _digest(shingles: list[bytes]) -> tuple[int, int]:
+    from xxhash import xxh3_128_digest
+
+    return tuple(np.frombuffer(xxh3_128_digest(b"\n".join(shingles), 5), np.int64).tolist())
+
+
 def wide_fingerprint(text: str | None, size: int = WIDE_WORDS) -> np.ndarray:
     """Four 64-bit words: a bit is set where at least half of the distinct shingles' hashes have it."""
     return _wide(sorted(_shingles(text, size)))
@@ -231,14 +243,12 @@ def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """doc_id, the digest of the set of shingles (s0, s1) and the fingerprint's words."""
 
     def run(batches):
-        from xxhash import xxh3_128_digest
-
         for batch in batches:
             texts = (t for i in range(0, batch.num_rows, 256) for t in batch.column(1).slice(i, 256).to_pylist())
             found = np.zeros((batch.num_rows, 6), dtype=np.int64)
             for row, text in zip(found, texts):
                 shingles = sorted(_shingles(text, size))
-                row[:2] = np.frombuffer(xxh3_128_digest(b"\n".join(shingles), 5), np.int64)
+                row[:2] = _digest(shingles)
                 row[2:] = _wide(shingles)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, k].copy()) for k in range(6)]], names=["doc_id", "s0", "s1", *_WORDS])
 
@@ -247,16 +257,43 @@ def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def _deal(batches):
-    """A row (bucket, id, words) for each key of a row (id, words)."""
-    places = 1 << np.arange(KEY_BITS)
-    for batch in batches:
-        for i in range(0, batch.num_rows, 4096):
-            ids, *words = (c.to_numpy(zero_copy_only=False) for c in batch.slice(i, 4096).columns)
-            bits = np.unpackbits(np.stack(words, axis=1).view(np.uint8), axis=1)
-            keys = np.stack([bits[:, own] @ places for own in _KEYED], axis=1) * WIDE_KEYS + np.arange(WIDE_KEYS)
-            columns = [keys.ravel(), *(np.repeat(c, WIDE_KEYS) for c in (ids, *words))]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["bucket", "id", *_WORDS])
+def key_plan(rows: int, similarity: float = SIMILARITY, missed: float = MISSED, bucket: int = BUCKET) -> tuple[int, int]:
+    """(bits of a key, number of keys) for so many fingerprints.
+
+    A bit more for each doubling of the rows keeps chance meetings at about ``bucket`` for a bucket, so comparisons grow with
+    rows x keys and not with the square; the number of keys follows, so that the share of the pairs at ``similarity`` that
+    agree on no key stays ``missed`` at every size. The distance of such pairs is binomial; its spread is summed out.
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    k = int(np.clip(np.ceil(np.log2(max(rows, 1) / bucket)), 4, 48))
+    d = np.arange(WIDE_BITS + 1)
+    logs = np.cumsum(np.log(np.maximum(d, 1)))
+    share = np.exp(logs[-1] - logs - logs[::-1] + d * np.log(p) + (WIDE_BITS - d) * np.log1p(-p))
+    meets = np.clip(np.array([np.prod(np.clip((WIDE_BITS - x - np.arange(k)) / (WIDE_BITS - np.arange(k)), 0, 1)) for x in d]), 0, 1 - 1e-12)
+    low, high = 1, 1 << 24
+    while low < high:
+        n = (low + high) // 2
+        low, high = (low, n) if (share * (1 - meets) ** n).sum() <= missed else (n + 1, high)
+    return k, low
+
+
+def _deal(bits: int, keys: int):
+    """A row (bucket, id, words) for each key of a row (id, words); a key is a seeded choice of so many bits."""
+
+    def run(batches):
+        own = np.stack([np.random.default_rng([SEED, k]).permutation(WIDE_BITS)[:bits] for k in range(keys)])
+        places = np.int64(1) << np.arange(bits, dtype=np.int64)
+        step = max(1, (1 << 18) // keys)
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                ids, *words = (c.to_numpy(zero_copy_only=False) for c in batch.slice(i, step).columns)
+                raw = np.unpackbits(np.stack(words, axis=1).view(np.uint8), axis=1)
+                values = np.stack([raw[:, o].astype(np.int64) @ places for o in own], axis=1)
+                buckets = (values * keys + np.arange(keys)).ravel()
+                columns = [buckets, *(np.repeat(c, keys) for c in (ids, *words))]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["bucket", "id", *_WORDS])
+
+    return run
 
 
 def _runs(batches, emit):
@@ -339,11 +376,26 @@ def exact_links(ids: np.ndarray, sets: list[np.ndarray], similarity: float = SIM
     return star_labels(np.array(u, dtype=np.int64), np.array(v, dtype=np.int64))
 
 
+def _rows_once(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (bucket, id, text, ...) of a batch without those that repeat all three: copies of one document under one id."""
+    codes = [c.to_numpy() for c in (batch.column(0), batch.column(1))] + [batch.column(2).dictionary_encode().indices.fill_null(-1).to_numpy()]
+    first = np.unique(np.stack(codes, axis=1), axis=0, return_index=True)[1]
+    return batch if len(first) == batch.num_rows else batch.take(pa.array(np.sort(first)))
+
+
+def _ids_once(rows: list[np.ndarray], starts) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of neighbouring rows with one bucket and id (sorted so) the first; starts are moved accordingly."""
+    new = np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]
+    place = np.r_[0, np.cumsum(new)]
+    return [r[new] for r in rows], place[np.asarray(starts)]
+
+
 def _verified(similarity: float):
     """Exact links within runs of one bucket; rows (bucket, id, shingles as bytes)."""
 
     def emit(rows, starts):
         found = []
+        rows, starts = _ids_once(rows, starts)
         for a, b in zip(starts[:-1], starts[1:]):
             if b - a > 1:
                 found.append(exact_links(rows[1][a:b], [np.frombuffer(r, np.uint64) for r in rows[2][a:b]], similarity))
@@ -368,6 +420,45 @@ def _parted(spark: SparkSession, dealt: DataFrame, limit: int) -> DataFrame:
     return dealt.select(F.explode(F.coalesce(pairs, F.array(F.col("bucket")))).alias("bucket"), *columns)
 
 
+def _labelled(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, limit: int, exact_limit: int) -> DataFrame:
+    """doc_id, s0, s1, root: each row's set of shingles (a 128-bit digest) and the number of its group."""
+    docs = docs.where(F.col(id_col).isNotNull())
+    fps = materialise(spark, wide_fingerprints(docs, id_col, text_col, size), "fingerprints")
+    nodes = fps.groupBy("s0", "s1").agg(F.min("doc_id").alias("least"), *[F.first(w).alias(w) for w in _WORDS])
+    # numbers are fixed by the writing: they name sets, as different sets may share a doc_id
+    nodes = materialise(spark, nodes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    bits, keys = key_plan(nodes.count(), similarity)
+    dealt = nodes.select("id", *_WORDS).mapInArrow(_deal(bits, keys), "bucket long, id long, " + ", ".join(f"{w} long" for w in _WORDS))
+    dealt = _parted(spark, dealt, limit)
+    maybe = dealt.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_wide_forest(max_distance(similarity)), "u long, v long")
+    maybe = materialise(spark, connected_components(spark, maybe).select(F.col("node").alias("id"), F.col("root").alias("bucket")), "candidates")
+
+    def hashed(batches):
+        for batch in batches:
+            sets = [shingle_set(t, size).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["bucket", "id", "shingles"])
+
+    # a text for each candidate set, found by a doc_id that has it; rows of that id with another text are told by their digest
+    wanted = nodes.select("id", "least", "s0", "s1").join(_parted(spark, maybe, exact_limit).hint("merge"), "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(wanted.hint("merge"), "least").select("bucket", "id", "text", "s0", "s1")
+
+    def own(batches):
+        for batch in batches:
+            batch = _rows_once(batch)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                digests = np.array([set_digest(t, size) for t in part.column(2).to_pylist()], dtype=np.int64).reshape(-1, 2)
+                same = (digests[:, 0] == part.column(3).to_numpy()) & (digests[:, 1] == part.column(4).to_numpy())
+                yield from hashed([part.filter(pa.array(same))])
+
+    sets = texts.mapInArrow(own, "bucket long, id long, shingles binary").repartition("bucket").sortWithinPartitions("bucket", "id")
+    edges = sets.mapInArrow(_verified(similarity), "u long, v long")
+    roots = connected_components(spark, edges).withColumnsRenamed({"node": "id"})
+    labels = nodes.join(roots, "id", "left").select("s0", "s1", F.coalesce("root", "id").alias("root"))
+    return fps.select("doc_id", "s0", "s1").join(materialise(spark, labels, "labels"), ["s0", "s1"])
+
+
 def similar_groups(
     spark: SparkSession,
     docs: DataFrame,
@@ -381,48 +472,53 @@ def similar_groups(
     """(doc_id, component_id) for documents whose sets of shingles have a Jaccard similarity of at least ``similarity``.
 
     Candidates come from wide fingerprints: at 0.8 about 39 of 256 bits differ, and a pair is a candidate up to four
-    standard deviations more (62). Fingerprints meet if they agree on one of 48 seeded choices of 10 bits: at 0.8 by
-    calculation with probability 0.9994, at 0.85 0.99994. Within a component of candidates every pair that matters
-    is then decided by the sets themselves, so no pair below the similarity is linked. Equal sets count once. A
-    bucket of more than ``limit`` fingerprints (a component of more than ``exact_limit`` sets) is cut into parts by
-    hash, and every two parts meet in a task of their own. Rows without an id are left out.
+    standard deviations more (62). Fingerprints meet if they agree on one of the seeded keys of key_plan(): all but
+    MISSED of the pairs at the similarity do by calculation, at every size. Within a component of candidates every pair
+    that matters is then decided by the sets themselves, so no pair below the similarity is linked. Equal sets count
+    once. A bucket of more than ``limit`` fingerprints (a component of more than ``exact_limit`` sets) is cut into parts
+    by hash, and every two parts meet in a task of their own. A row for each row with an id; texts without words are
+    one group. Null and empty texts count as without words; other columns are ignored; an empty table gives none.
     """
-    docs = docs.where(F.col(id_col).isNotNull())
-    fps = materialise(spark, wide_fingerprints(docs, id_col, text_col, size), "fingerprints")
-    nodes = fps.groupBy("s0", "s1").agg(F.min("doc_id").alias("least"), *[F.first(w).alias(w) for w in _WORDS])
-    nodes = materialise(spark, nodes, "classes")
-    dealt = nodes.select(F.col("least").alias("id"), *_WORDS).mapInArrow(_deal, "bucket long, id long, " + ", ".join(f"{w} long" for w in _WORDS))
-    dealt = _parted(spark, dealt, limit)
-    maybe = dealt.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_wide_forest(max_distance(similarity)), "u long, v long")
-    maybe = materialise(spark, connected_components(spark, maybe).select(F.col("node").alias("id"), F.col("root").alias("bucket")), "candidates")
-
-    def hashed(batches):
-        for batch in batches:
-            sets = [shingle_set(t, size).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["bucket", "id", "shingles"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(_parted(spark, maybe, exact_limit).hint("merge"), "id").select("bucket", "id", "text")
-    sets = texts.mapInArrow(hashed, "bucket long, id long, shingles binary").repartition("bucket").sortWithinPartitions("bucket", "id")
-    edges = sets.mapInArrow(_verified(similarity), "u long, v long")
-    roots = connected_components(spark, edges).withColumnsRenamed({"node": "least", "root": "component_id"})
-    labels = nodes.join(roots, "least", "left").select("s0", "s1", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(materialise(spark, labels, "labels"), ["s0", "s1"]).select("doc_id", "component_id")
+    rows = _labelled(spark, docs, id_col, text_col, size, similarity, limit, exact_limit)
+    least = materialise(spark, rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    return rows.join(least, "root").select("doc_id", "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs less near copies: of each group the row with the least doc_id; rows without an id stay.
+def keep_one(
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WIDE_WORDS, similarity: float = SIMILARITY,
+    limit: int = WIDE_LIMIT, exact_limit: int = LIMIT,
+) -> DataFrame:
+    """The rows of docs less near copies: of each group one row with the least doc_id; rows without an id stay.
 
-    Of rows that repeat a doc_id one stays (the one whose text sorts first). Columns and types are those of docs.
+    Decisions are made by row: different texts that share a doc_id are groups of their own, and a copy of one of them takes
+    the other with it no more. Rows that share both doc_id and set of shingles count as copies, and the one whose text sorts
+    first stays. Null and empty texts are one group. Columns, of any name, and types are those of docs.
     """
-    dropped = materialise(
-        spark, similar_groups(spark, docs, **options).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")), "groups"
-    )
-    lost = dropped.where("doc_id <> c").select("doc_id").hint("merge")  # grows with the corpus: never broadcast
-    kept = docs.join(lost, "doc_id", "left_anti")
-    again = dropped.where("n > 1 and doc_id = c").select("doc_id")
-    if again.isEmpty():
-        return kept
-    first = Window.partitionBy("doc_id").orderBy("text")
-    once = kept.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return kept.join(again, "doc_id", "left_anti").unionByName(once)
+    rows = _labelled(spark, docs, id_col, text_col, size, similarity, limit, exact_limit)
+    sets = rows.groupBy("doc_id", "s0", "s1").agg(F.min("root").alias("root"), F.count("*").alias("n"))
+    sets = materialise(spark, sets, "sets")
+    stays = sets.groupBy("root").agg(F.min(F.struct("doc_id", "s0", "s1")).alias("first"))
+    stays = materialise(spark, stays.select("first.*"), "stays")
+    by_id = sets.groupBy("doc_id").agg(F.sum("n").alias("n"))
+    kept_ids = stays.groupBy("doc_id").agg(F.lit(True).alias("some"))
+    by_id = materialise(spark, by_id.join(kept_ids, "doc_id", "left"), "ids")
+    # whole rows travel as one struct, so no name of theirs can clash
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"))
+    gone = by_id.where("some is null or n > 1").select(F.col("doc_id").alias("_id")).hint("merge")  # grows with the corpus: never broadcast
+    kept = whole.join(gone, "_id", "left_anti")
+    mixed = by_id.where("some and n > 1").select(F.col("doc_id").alias("_id"))
+    if not mixed.isEmpty():
+
+        def marked(batches):
+            for batch in batches:
+                texts = batch.column(2).to_pylist()
+                found = np.array([set_digest(t, size) for t in texts], dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["_row", "_id", "_text", "_s0", "_s1"])
+
+        again = whole.join(mixed, "_id", "left_semi").select("_row", "_id", F.col(f"_row.`{text_col}`").cast("string").alias("_text"))
+        row_type = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).schema["_row"].dataType.simpleString()
+        again = again.mapInArrow(marked, f"_row {row_type}, _id long, _text string, _s0 long, _s1 long")
+        first = stays.select(F.col("doc_id").alias("_id"), F.col("s0").alias("_s0"), F.col("s1").alias("_s1"))
+        again = again.join(first, ["_id", "_s0", "_s1"], "left_semi").groupBy("_id", "_s0", "_s1").agg(F.min_by("_row", F.coalesce("_text", F.lit(""))).alias("_row"))
+        kept = kept.select("_row").unionByName(again.select("_row"))
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -85,6 +85,27 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5]
 
 
+def test_keep_one_keeps_different_texts_of_one_id(spark):
+    a, b, c = prose(200, 71), prose(200, 72), prose(200, 73)
+    rows = [(1, a, 0, "x"), (7, b, 1, "y"), (7, c, 2, "z"), (8, c, 3, "z"), (7, c, 4, "z"), (9, None, 5, None), (10, "", 6, None), (None, a, 7, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n long, _row string").repartition(3)
+    kept = simhash.keep_one(spark, docs)
+    assert kept.dtypes == docs.dtypes
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect())
+    assert got == sorted([(0, a), (1, a), (7, b), (7, c), (9, None)], key=lambda r: (r[0], r[1]))
+    assert simhash.keep_one(spark, docs.limit(0)).count() == 0
+
+
+def test_key_plan_keeps_its_recall_at_every_size():
+    p, draws = np.arccos(2 * 0.8 / 1.8) / np.pi, np.random.default_rng(5)
+    for rows in (1000, 200_000, 10**7):
+        bits, keys = simhash.key_plan(rows)
+        assert rows / 2**bits <= simhash.BUCKET or bits == 4
+        apart = draws.random((1500, simhash.WIDE_BITS)) < p
+        own = [np.random.default_rng([simhash.SEED, k]).permutation(simhash.WIDE_BITS)[:bits] for k in range(keys)]
+        assert np.mean(np.any([~apart[:, o].any(axis=1) for o in own], axis=0)) >= 0.99
+
+
 @pytest.mark.parametrize("limits", [{}, {"limit": 5, "exact_limit": 5}])
 def test_groups_equal_exact_similarity(spark, limits):
     rows = [*ODD]
