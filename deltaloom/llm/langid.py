@@ -8,6 +8,7 @@ probabilities are fitted by expectation maximisation over the word counts of a b
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -22,15 +23,28 @@ from deltaloom.llm.common import crc_mod, worker_cache
 TRAIN_ROWS = 600
 ROUNDS = 4
 UNDETERMINED = "und"
-_LONGEST = 24  # letters of a word that are scored together; longer runs are scored in such parts
-_WORD = re.compile(r"[^\W\d_]{1,%d}" % _LONGEST)
+#: Letters of a word that the lattice of many words takes; longer runs have a recursion of their own, and in the fit alone are
+#: cut into parts, of which only the first starts a word.
+_LONGEST = 24
+
+
+_RUN = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS = 250_000
 _FLOOR = 1e-7
 
 
 def words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, cut into parts of at most _LONGEST letters."""
-    return _WORD.findall((text or "").lower())
+    """Lower-cased runs of letters (str.isalpha)."""
+    found = _RUN.findall((text or "").lower())
+    if not found or "".join(found).isalpha():
+        return found
+    # the expression also lets numerals pass that are neither digits nor letters
+    return [w for f in found for w in (f if f.isalpha() else "".join(c if c.isalpha() else " " for c in f)).split()]
+
+
+def parts(word: str) -> list[str]:
+    """A word as the fit takes it: with the mark of a word's start, in parts of at most _LONGEST letters."""
+    return [" " + word] if len(word) <= _LONGEST else [" " * (i == 0) + word[i : i + _LONGEST] for i in range(0, len(word), _LONGEST)]
 
 
 def vocabulary(path: str) -> list[str]:
@@ -64,25 +78,56 @@ class Model:
     langs: list[str]
     tree: dict[str, int]
     probs: np.ndarray  # (pieces + 1, langs); the last row is any single letter outside the vocabulary
-    key: tuple = field(default=())
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def log_probs(self, found: list[str]) -> np.ndarray:
         """log probability of each word in each language, summed over its segmentations."""
-        lattice = build_lattice(found, self.tree, len(self.probs) - 1)
-        alpha = forward(lattice, self.probs)
-        return np.log(alpha[lattice.length, np.arange(len(found))])
+        out = np.zeros((len(found), self.probs.shape[1]))
+        short = [i for i, w in enumerate(found) if len(w) <= _LONGEST]
+        if short:
+            lattice = build_lattice([" " + found[i] for i in short], self.tree, len(self.probs) - 1)
+            out[short] = np.log(forward(lattice, self.probs)[lattice.length, np.arange(len(short))])
+        for i, w in enumerate(found):
+            if len(w) > _LONGEST:
+                out[i] = self.long_log_prob(w)
+        return out
+
+    def long_log_prob(self, word: str) -> np.ndarray:
+        """The same sum along one long run of letters: only the last few positions are held, scaled to stay in range."""
+        text, get, unknown = " " + word, self.tree.get, self.probs[-1]
+        n, size = len(text), self.probs.shape[1]
+        ahead = {0: np.ones(size)}
+        log_scale = np.zeros(size)
+        for i in range(n):
+            here = ahead.pop(i, None)
+            if here is None:
+                continue
+            if (here < 1e-100).any():
+                factor = np.where(here < 1e-100, 1 / np.maximum(here, 1e-300), 1.0)
+                log_scale -= np.log(factor)
+                here = here * factor
+                ahead = {j: a * factor for j, a in ahead.items()}
+            known = False
+            for j in range(i + 1, n + 1):
+                if (p := get(text[i:j])) is None:
+                    break
+                if p >= 0:
+                    ahead[j] = ahead.get(j, 0) + here * self.probs[p]
+                    known = known or j == i + 1
+            if not known:
+                ahead[i + 1] = ahead.get(i + 1, 0) + here * unknown
+        return np.log(ahead[n]) + log_scale
 
 
 def build_lattice(found: list[str], tree: dict[str, int], unknown: int) -> Lattice:
-    """unknown: the number that a single letter outside the vocabulary gets."""
+    """found: words with the mark of their start, or parts without; unknown: the number of a single letter outside the vocabulary."""
     # An edge is one number, (end, word, start, piece) from its highest part to its lowest.
-    length_radix, piece_radix = max(map(len, found), default=0) + 2, unknown + 1
+    length_radix, piece_radix = max(map(len, found), default=0) + 1, unknown + 1
     word_step = length_radix * piece_radix
     end_step = max(len(found), 1) * word_step
     packed: list[int] = []
     add, get = packed.append, tree.get
     for w, text in enumerate(found):
-        text = " " + text
         n = len(text)
         for i in range(n):
             own = w * word_step + i * piece_radix
@@ -99,7 +144,7 @@ def build_lattice(found: list[str], tree: dict[str, int], unknown: int) -> Latti
     ends, edges = np.divmod(edges, end_step)
     word, edges = np.divmod(edges, word_step)
     start, piece = np.divmod(edges, piece_radix)
-    length = np.array([len(w) + 1 for w in found], dtype=np.int64)
+    length = np.array([len(w) for w in found], dtype=np.int64)
     bounds = np.searchsorted(ends, np.arange(length.max(initial=0) + 2)).tolist()
     return Lattice(word, start, piece, bounds, length)
 
@@ -143,7 +188,7 @@ def _word_counts(batches):
     counts: Counter = Counter()
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts.update((lang, w) for w in words(text))
+            counts.update((lang, p) for w in words(text) for p in parts(w))
     yield pa.RecordBatch.from_pylist(
         [{"lang": lang, "word": w, "n": n} for (lang, w), n in counts.items()],
         schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]),
@@ -160,24 +205,22 @@ def train(
     labelled = labelled.select(
         F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).where("lang is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # as many as the model has languages
     langs = sorted(sizes)
     pieces = vocabulary(vocabulary_path)
     tree = prefix_tree(pieces)
     if not langs:
         return Model([], tree, np.zeros((len(pieces) + 1, 0)))
-    taken = F.lit(False)
-    for lang in langs:
-        share = min(1.0, rows / sizes[lang])
-        taken = taken | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)))
-    sample = labelled.where(taken).select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long")
+    shares = F.create_map(*[F.lit(x) for lang in langs for x in (lang, rows / sizes[lang])])
+    drawn = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < shares[F.col("lang")]  # all rows where there are fewer
+    sample = labelled.where(drawn).select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long")
     table = sample.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("lang", "word").toPandas()
     probs = np.full((len(pieces) + 1, len(langs)), 1.0 / (len(pieces) + 1))
     for k, lang in enumerate(langs):
         own = table[table.lang == lang]
         if len(own):
             probs[:, k] = fit_language(build_lattice(own.word.tolist(), tree, len(pieces)), own.n.to_numpy(float), len(pieces))
-    return Model(langs, tree, probs, (len(langs), len(table), float(probs.sum())))
+    return Model(langs, tree, probs)
 
 
 def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -190,19 +233,28 @@ def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], lis
         cache[model.key] = ({}, np.zeros((0, len(model.langs))))
     known, logs = cache[model.key]
     counted = [Counter(words(t)) if model.langs else Counter() for t in texts]
+    has = [bool(c) for c in counted]
+    long: dict[int, np.ndarray] = {}  # runs beyond the lattice are scored where they stand, and not kept
+    for i, c in enumerate(counted):
+        if over := [w for w in c if len(w) > _LONGEST]:
+            long[i] = sum(c.pop(w) * model.long_log_prob(w) for w in over)
     new = list(dict.fromkeys(w for c in counted for w in c if w not in known))
     if new:
         known.update(zip(new, range(len(known), len(known) + len(new))))
         logs = np.concatenate([logs, *(model.log_probs(new[i : i + 20_000]) for i in range(0, len(new), 20_000))])
         cache[model.key] = (known, logs)
     langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-    rows = [i for i, c in enumerate(counted) if c]
+    rows = [i for i, some in enumerate(has) if some]
     if not rows:
         return langs, scores
-    at = np.array([known[w] for i in rows for w in counted[i]])
+    at = np.array([known[w] for i in rows for w in counted[i]], dtype=np.int64)
     n = np.array([k for i in rows for k in counted[i].values()], dtype=float)
     ends = np.cumsum([len(counted[i]) for i in rows])
-    totals = np.add.reduceat(logs[at] * n[:, None], np.r_[0, ends[:-1]])
+    sums = np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(logs[at] * n[:, None], axis=0)]) if len(at) else np.zeros((1, len(model.langs)))
+    totals = sums[ends] - sums[np.r_[0, ends[:-1]]]
+    for k, i in enumerate(rows):
+        if i in long:
+            totals[k] += long[i]
     totals = np.exp(totals - totals.max(axis=1, keepdims=True))
     best = totals.argmax(axis=1)
     share = totals[np.arange(len(rows)), best] / totals.sum(axis=1)
@@ -247,10 +299,14 @@ def identify(spark: SparkSession, docs: DataFrame, vocabulary_path: str, rows: i
 
 
 def without_unknown(docs: DataFrame, vocabulary_path: str, least: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of docs whose text has a language: not 'und' and with a posterior of ``least`` or more. Map-only."""
+    """The rows of docs whose text has a language: not 'und' and with a posterior of ``least`` or more. Map-only.
+
+    Null texts and texts without a letter go; repeated rows share their fate, as only the text is looked at. Without any
+    labelled row every text with a letter stays. Columns, of any name, and types are those of docs; no rows give none.
+    """
     model, place = train(docs, vocabulary_path, rows=rows), docs.columns.index("text")
     if not model.langs:
-        return docs.where(F.col("text").rlike("\\p{L}"))
+        return docs.where(F.col("text").rlike("\\p{L}"))  # no language is known: whatever has a letter stays
 
     def run(batches):
         for batch in batches:

@@ -305,21 +305,65 @@ def test_language_models(spark):
         ways = [1.0] + [0.0] * len(word)
         for j in range(1, len(word) + 1):
             for i in range(j):
-                p = model.tree.get(word[i:j])
-                ways[j] += ways[i] * (model.probs[p, 0] if p is not None else 0.1 if j - i == 1 and word[i] not in model.tree else 0)
+                p = model.tree.get(word[i:j], -1)
+                ways[j] += ways[i] * (model.probs[p, 0] if p >= 0 else 0.1 if j - i == 1 else 0)
         return ways[-1]
 
     for w in ("a", "aab", "cab", "aaaa"):
         assert np.isclose(np.exp(model.log_probs([w])[0, 0]), by_sum(w))
+    model.tree |= {"aab"[:k]: -1 for k in (2, 3) if "aab"[:k] not in model.tree}
+    for w in ("ab" * 12, "ab" * 13, "aacb" * 40):
+        assert np.isclose(model.log_probs([w])[0, 0], np.log(by_sum(w))) and np.isclose(model.long_log_prob(w)[0], np.log(by_sum(w)))
+    assert np.isfinite(model.long_log_prob("c" * 5000)[0])
     r = random.Random(0)
     words = {"en": ["the", "and", "house", "water", "think"], "de": ["der", "und", "haus", "wasser", "denken"], "fr": ["les", "avec", "maison", "eau", "penser"]}
     rows = [(i, " ".join(r.choice(words[lang]) for _ in range(12)), lang, "s") for i, lang in enumerate(["en", "de", "fr"] * 60)]
-    docs = spark.createDataFrame([*rows, (900, None, "en", "s"), (901, "12 !?", "de", "s"), (902, "der die und", None, "s"), (None, "the the", "en", "s")], "doc_id long, text string, lang string, source string")
+    docs = spark.createDataFrame([*rows, (900, None, "en", "s"), (901, "12 !?", "de", "s"), (902, "der die und", None, "s"), (None, "the the", "en", "s"), (903, "\u00bd \u00b2 \u2460 \u2167", "en", "s"), (904, "der" * 2000 + " und", "de", "s"), (905, "die haus", "de", "s"), (905, "die haus", "de", "s")], "doc_id long, text string, lang string, source string")
     got = langid.identify(spark, docs, PIECES).toPandas().set_index("doc_id")
     held = [(i, lang) for i, _, lang, _ in rows if crc32(str(i).encode()) % 4 == 2]
     assert np.mean([got.lang_pred[i] == lang for i, lang in held]) > 0.95 and len(held) > 20
-    assert got.lang_pred[900] == got.lang_pred[901] == "und" and got.score.between(0, 1).all()
-    assert all(got.held_out[i] == (crc32(str(int(i)).encode()) % 4 == 2) for i in got.index if i == i)
+    assert got.lang_pred[900] == got.lang_pred[901] == got.lang_pred[903] == "und" and got.score.between(0, 1).all()
+    assert len(got.loc[905]) == 2 and got.loc[905].lang_pred.nunique() == 1 and len(got) == len(rows) + 8
+    clash = docs.withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1)).withColumn("h", F.lit(2)).withColumn("count", F.lit(3))
+    assert langid.identify(spark, clash, PIECES).where("doc_id = 901 and lang_pred = 'und'").count() == 1
+    kept = langid.without_unknown(clash, PIECES)
+    assert kept.dtypes == clash.dtypes and kept.where("doc_id in (900, 901, 903)").count() == 0 and kept.count() >= len(rows) - 5
+    assert langid.identify(spark, docs.limit(0), PIECES).count() == langid.without_unknown(docs.limit(0), PIECES).count() == 0
+    assert all(h == (crc32(str(int(i)).encode()) % 4 == 2) for i, h in got.held_out.items() if i == i)
+
+
+def test_language_choice_equals_brute_force(spark):
+    """Expectation maximisation and the choice of a language, by listing every segmentation."""
+    pieces = [" ", " a", " b", "a", "b", "c", "ab", "ba", " ab", "bc"]
+    tree = langid.prefix_tree(pieces)
+
+    def ways(word):
+        if not word:
+            return [[]]
+        found = [[pieces.index(word[:k])] + rest for k in range(1, len(word) + 1) if word[:k] in pieces for rest in ways(word[k:])]
+        return found + ([[len(pieces)] + rest for rest in ways(word[1:])] if word[0] not in pieces else [])
+
+    def by_hand(counts, rounds):
+        probs = np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
+        for _ in range(rounds):
+            expected = np.zeros_like(probs)
+            for word, n in counts.items():
+                own = [(np.prod(probs[w]), w) for w in ways(word)]
+                for p, w in own:
+                    np.add.at(expected, w, n * p / sum(q for q, _ in own))
+            probs = (expected + 1e-3) / (expected.sum() + 1e-3 * len(probs))
+        return np.maximum(probs, langid._FLOOR)
+
+    counts = [{" abba": 3, " bcz": 1, " ab": 2}, {" cab": 2, " baab": 4, "cc": 1}]
+    fitted = [langid.fit_language(langid.build_lattice(list(c), tree, len(pieces)), np.array(list(c.values()), float), len(pieces), rounds=3) for c in counts]
+    brute = [by_hand(c, 3) for c in counts]
+    assert np.allclose(fitted, brute)
+    model = langid.Model(["x", "y"], tree, np.stack(fitted, axis=1))
+    texts = ["ab abba", "cab, cab!", "zz b", "bcz", None]
+    langs, scores = langid.predict_texts(model, texts)
+    for text, lang, score in zip(texts, langs, scores):
+        own = np.array([np.prod([sum(np.prod(b[w]) for w in ways(" " + x)) for x in langid.words(text)]) for b in brute])
+        assert (lang, score) == ("und", 0) if not text else lang == "xy"[own.argmax()] and np.isclose(score, own.max() / own.sum())
 
 
 def test_pipeline_stages(spark):
