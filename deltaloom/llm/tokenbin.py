@@ -4,7 +4,8 @@ Shard file: 16-byte head (magic, version, bytes per id), then raw little-endian
 ascending doc_id order (null first), nothing between them. Ids take two bytes if the vocabulary allows, else four.
 
 Index: keys are dealt by hash into parts; each part is a file with a minimal perfect hash of its distinct keys, then
-one slot for each key: 32-bit fingerprint, shard, byte offset, tokens, rows. A lookup reads one slot. Offsets are relative to the shard's first id.
+one slot for each key: 32-bit fingerprint, shard, byte offset, tokens, rows, whether the id is null. One key is found by a constant
+number of small reads (IndexFile); many keys of a part share one read of its file. Offsets are relative to the shard's first id.
 
 Both kinds of files are written under names of their own for each task attempt; only what the committed
 manifest names is ever read, so lost or repeated tasks do no harm.
@@ -28,8 +29,12 @@ from deltaloom.llm.common import file_system, fresh_path, materialise, worker_ca
 
 MAGIC, HEAD, INDEX_HEAD = b"DLTK", "<4sHH8x", "<4sIII"
 HEAD_BYTES, INDEX_HEAD_BYTES = struct.calcsize(HEAD), struct.calcsize(INDEX_HEAD)
-SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("tokens", "<u8"), ("rows", "<u4")])
+SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("tokens", "<u8"), ("rows", "<u4"), ("null", "<u4")])
 PART_KEYS = 50_000
+#: Bytes of ids that a task reads back, about.
+READ_BYTES = 32 << 20
+#: Levels of a perfect hash beyond which keys can only be equal.
+MOST_LEVELS = 128
 #: White space as the pre-tokenizer's pattern has it. A piece is a run of other characters with a space before it, or
 #: white space; no token of a byte-level BPE with that pattern reaches over the border of two pieces.
 _WS = "\t-\r \x85\xa0  -     　"
@@ -123,10 +128,20 @@ class _Words:
         return places
 
 
+def by_pieces(spec: dict) -> bool:
+    """Whether a tokenizer's ids of a text are those of its pieces, one after the other: a byte-level BPE with the usual
+    pattern, without a normaliser, dropout or marks of its own. Others get whole texts."""
+    before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = all(not model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    pattern = before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True)
+    return spec.get("normalizer") is None and model.get("type") == "BPE" and plain and pattern and not spec.get("truncation")
+
+
 def _tokenizer(path: str):
-    """(tokenizer, special strings, dtype of ids, words), loaded once for each worker."""
+    """(tokenizer, special strings, dtype of ids, words), loaded once for each worker. Words are None if texts go in whole."""
     cache = worker_cache("tokenbin")
     if path not in cache:
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -135,7 +150,10 @@ def _tokenizer(path: str):
         tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         dtype = np.dtype("<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        cache[path] = (tokenizer, special, dtype, _Words(_Pieces(tokenizer, dtype)))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut = by_pieces({k: v for k, v in spec.items() if k != "added_tokens"})
+        cache[path] = (tokenizer, special, dtype, _Words(_Pieces(tokenizer, dtype)) if cut else None)
     return cache[path]
 
 
@@ -163,12 +181,15 @@ def encode(path: str, texts: pa.Array | list[str | None], end_id: int = 0) -> li
     """Raw ids of each whole text (null: empty), an end id appended.
 
     The library encodes each distinct piece once and the ids of a text are joined from its pieces, which is
-    what it returns for the whole text; texts with an added token's string go through it whole.
+    what it returns for the whole text; texts with an added token's string go through it whole, and all texts do where
+    by_pieces() does not know the tokenizer's kind.
     """
     tokenizer, special, dtype, known = _tokenizer(path)
-    pieces = known.pieces
     end = np.array([end_id], dtype=dtype).tobytes()
     texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+    if known is None:
+        return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype=dtype).tobytes() + end for t in texts.to_pylist()]
+    pieces = known.pieces
     if len(pieces) > _CACHE_PIECES:
         pieces.clear()
     odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.equal(texts, ""))
@@ -200,11 +221,13 @@ def build_mph(keys: np.ndarray) -> np.ndarray:
     """A minimal perfect hash of distinct 64-bit keys, by levels of bit arrays.
 
     At each level the keys left hash into 1.5 times as many bits; a key alone on its bit sets it, the others go on to the
-    next level. The slot of a key is the rank of its bit among all set bits, so a lookup takes a constant number of
+    next level; equal keys are an error. The slot of a key is the rank of its bit among all set bits, so a lookup takes a constant number of
     steps (two levels on average). Packed: levels, bits of each level, then for each 64-bit word its rank and the word.
     """
     sizes, words = [], []
     while len(keys):
+        if len(sizes) == MOST_LEVELS:
+            raise ValueError(f"{len(keys)} keys are not distinct")
         n = -(-len(keys) * 3 // 2 // 64) * 64 or 64
         at = (mix(keys, len(sizes)) % np.uint64(n)).astype(np.int64)
         alone = np.bincount(at, minlength=n) == 1
@@ -238,19 +261,21 @@ def _print(keys: np.ndarray) -> np.ndarray:
 
 
 def _key(column):
-    """A 64-bit key of a doc_id; null has one of its own. A bijection on ids, so that distinct ids never share one."""
+    """A 64-bit key of a doc_id. Null shares that of the least id, -2^63: their rows stand side by side, count as copies of one
+    key, and are told apart by the slot's mark."""
     return F.coalesce(column, F.lit(-(1 << 63)))
 
 
 def _copy_keys(keys: np.ndarray, copies: np.ndarray) -> np.ndarray:
-    """Keys of the rows that repeat an id: the first keeps the id's own."""
+    """Keys of the rows that repeat a key: the first keeps its own."""
     return np.where(copies == 0, keys, mix(keys ^ (copies.astype(np.uint64) << np.uint64(32)), 3))
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
     """Writes every text's ids; returns the folder and the manifest: shard, file, id_bytes, doc_id, copy, offset, tokens.
-    Rows that repeat an id stand side by side; copy counts them from 0."""
+    Rows that repeat an id stand side by side, in one shard; copy counts them from 0 (a null id and -2^63 together)."""
     folder = fresh_path(spark, "tokens")
+    lowest = -(1 << 63)
 
     def run(batches):
         from pyspark import TaskContext
@@ -275,7 +300,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, end_id: int =
             ends = offset + np.cumsum(np.array(lengths, dtype=np.int64))
             n = batch.num_rows
             copies = np.zeros(n, dtype=np.int32)
-            for i, doc in enumerate(batch.column(0).to_pylist()):
+            for i, doc in enumerate(pc.fill_null(batch.column(0), lowest).to_pylist()):
                 copy = copy + 1 if copy >= 0 and doc == last else 0
                 last, copies[i] = doc, copy
             yield pa.RecordBatch.from_arrays(
@@ -304,8 +329,9 @@ def write_index(spark: SparkSession, manifest: DataFrame) -> tuple[str, DataFram
     """Writes the index files over a manifest; returns the folder and (part, parts, file). Each row has a slot,
     which also has the number of rows with its id."""
     folder = fresh_path(spark, "index")
-    again = manifest.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(_key(F.col("doc_id")).alias("key"), "rows")
-    keys = manifest.select(_key(F.col("doc_id")).alias("key"), "copy", "shard", "offset", "tokens").join(again, "key", "left")
+    key = _key(F.col("doc_id")).alias("key")
+    again = materialise(spark, manifest.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1"), "repeated")
+    keys = manifest.select(key, F.col("doc_id").isNull().cast("int").alias("null"), "copy", "shard", "offset", "tokens").join(again, "key", "left")
     keys = keys.withColumn("rows", F.coalesce("rows", F.lit(1)).cast("long"))
     parts = max(1, -(-manifest.count() // PART_KEYS))
     keys = keys.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("long"))
@@ -322,7 +348,7 @@ def write_index(spark: SparkSession, manifest: DataFrame) -> tuple[str, DataFram
             packed = build_mph(own)
             place = find_slots(packed, own)
             slots = np.zeros(len(own), dtype=SLOT)
-            for field in ("shard", "offset", "tokens", "rows"):
+            for field in ("shard", "offset", "tokens", "rows", "null"):
                 slots[field][place] = table[field].to_numpy()
             slots["print"][place] = _print(own)
             with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
@@ -345,6 +371,69 @@ def write_index(spark: SparkSession, manifest: DataFrame) -> tuple[str, DataFram
     return folder, materialise(spark, files.withColumn("parts", F.lit(parts)), "index")
 
 
+class IndexFile:
+    """One part's file, open: a key is found by a few small reads, whose number does not depend on the number of keys.
+
+    find() reads the head once, then a rank and a word of bits for each level that the key passes (two on average) and one slot.
+    """
+
+    def __init__(self, source):
+        self.source = source
+        _, _, self.n_words, self.n_slots = struct.unpack(INDEX_HEAD, self._read(0, INDEX_HEAD_BYTES))
+        levels = int(np.frombuffer(self._read(INDEX_HEAD_BYTES, 8), "<u8")[0])
+        self.sizes = np.frombuffer(self._read(INDEX_HEAD_BYTES + 8, 8 * levels), "<u8").astype(np.int64)
+        self.ranks_at = INDEX_HEAD_BYTES + 8 * (1 + levels)
+        self.bits_at = self.ranks_at + int(self.sizes.sum()) // 8
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.source.seek(at)
+        return self.source.read(size)
+
+    def find(self, doc_id: int | None, copy: int = 0):
+        """The slot of a document's row, or None if the part has none with its fingerprint."""
+        own = np.array([-(1 << 63) if doc_id is None else doc_id], dtype=np.int64).view(np.uint64)
+        own = _copy_keys(own, np.array([copy]))
+        base = 0
+        for level, n in enumerate(self.sizes):
+            at = int(mix(own, level)[0] % np.uint64(n))
+            word, bit = base + at // 64, at % 64
+            bits = int.from_bytes(self._read(self.bits_at + 8 * word, 8), "little")
+            if bits >> bit & 1:
+                rank = int.from_bytes(self._read(self.ranks_at + 8 * word, 8), "little") + (bits & (1 << bit) - 1).bit_count()
+                slot = np.frombuffer(self._read(INDEX_HEAD_BYTES + 8 * self.n_words + SLOT.itemsize * rank, SLOT.itemsize), SLOT)[0]
+                same = slot["print"] == _print(own)[0] and bool(slot["null"]) == (doc_id is None)
+                return slot if same else None
+            base += n // 64
+        return None
+
+
+def part_of(doc_id: int | None, parts: int) -> int:
+    """The part of a doc_id, as write_index() deals it."""
+    from xxhash import xxh64_intdigest
+
+    key = -(1 << 63) if doc_id is None else doc_id
+    h = xxh64_intdigest(struct.pack("<q", key), 42)
+    return (h - (1 << 64) if h >> 63 else h) % parts
+
+
+def read_ids(folder: str, file: str, id_bytes: int, offset: int, tokens: int) -> np.ndarray:
+    """The ids of one document, by one seek into its shard."""
+    fs, root = file_system(folder)
+    with fs.open_input_file(f"{root}/{file}") as source:
+        source.seek(HEAD_BYTES + offset)
+        return np.frombuffer(source.read(tokens * id_bytes), f"<u{id_bytes}")
+
+
+def _copies_of(keys: np.ndarray, asked: np.ndarray, found: np.ndarray):
+    """(place in asked, copy) of all rows beyond the first of keys that have more, in blocks of a bounded size."""
+    more = found["rows"].astype(np.int64) - 1
+    ends = np.cumsum(more)
+    for start in range(0, int(ends[-1]) if len(ends) else 0, 1 << 20):
+        at = np.arange(start, min(start + (1 << 20), int(ends[-1])))
+        owner = np.searchsorted(ends, at, side="right")
+        yield asked[owner], keys[owner], at - (ends[owner] - more[owner]) + 1
+
+
 def lookup(spark: SparkSession, keys: DataFrame, index_folder: str, index: DataFrame) -> DataFrame:
     """doc_id, shard, offset, tokens of all rows of the keys (column doc_id) that the index has; each part's file is read once
     for each run of its keys. Keys that no document has are told by their fingerprint (but for one in 2**32)."""
@@ -359,6 +448,16 @@ def lookup(spark: SparkSession, keys: DataFrame, index_folder: str, index: DataF
         name, packed, slots = None, None, None
         for batch in batches:
             files = batch.column(2).to_pylist()
+            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+
+            def rows(ids, found):
+                own = (found["null"] == 1) == null[ids]
+                ids, found = ids[own], found[own]
+                return pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(ids)), *[pa.array(found[c].astype(np.int64)) for c in ("shard", "offset", "tokens")]],
+                    names=["doc_id", "shard", "offset", "tokens"],
+                )
+
             start = 0
             while start < len(files):
                 stop = start
@@ -372,30 +471,25 @@ def lookup(spark: SparkSession, keys: DataFrame, index_folder: str, index: DataF
                     packed = np.frombuffer(raw, "<u8", n_words, INDEX_HEAD_BYTES)
                     slots = np.frombuffer(raw, SLOT, n_slots, INDEX_HEAD_BYTES + 8 * n_words)
                 own = batch.column(1).to_numpy()[start:stop].view(np.uint64)
-                ids, copies = np.arange(start, stop), np.zeros(len(own), dtype=np.int64)
-                while len(own):
-                    prints = _copy_keys(own, copies)
-                    found = slots[find_slots(packed, prints)]
-                    known = found["print"] == _print(prints)
-                    ids, own, copies, found = ids[known], own[known], copies[known], found[known]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(ids)), *[pa.array(found[c].astype(np.int64)) for c in ("shard", "offset", "tokens")]],
-                        names=["doc_id", "shard", "offset", "tokens"],
-                    )
-                    more = copies + 1 < found["rows"]
-                    ids, own, copies = ids[more], own[more], copies[more] + 1
+                ids = np.arange(start, stop)
+                found = slots[find_slots(packed, own)]
+                known = found["print"] == _print(own)
+                ids, own, found = ids[known], own[known], found[known]
+                yield rows(ids, found)
+                for again, key, copies in _copies_of(own, ids, found):
+                    yield rows(again, slots[find_slots(packed, _copy_keys(key, copies))])
                 start = stop
 
-    dealt = asked.select("doc_id", "key", "file").repartition("file").sortWithinPartitions("file", "key")
+    dealt = asked.select("doc_id", "key", "file").repartition(max(1, first["parts"]), "file").sortWithinPartitions("file", "key")
     return dealt.mapInArrow(run, "doc_id long, shard long, offset long, tokens long")
 
 
 def read_back(spark: SparkSession, places: DataFrame, folder: str, shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document at the places (from lookup), read from the shard files.
 
-    shards: shard, file, id_bytes, base (ids in the shards before), a row for each shard.
+    shards: shard, file, id_bytes, base (ids in the shards before), tokens, a row for each shard.
     """
-    placed = places.join(shards, "shard").select("file", "id_bytes", "base", "doc_id", "offset", "tokens")
+    placed = places.join(shards.drop("tokens"), "shard").select("file", "id_bytes", "base", "doc_id", "offset", "tokens")
 
     def run(batches):
         fs, root = file_system(folder)
@@ -411,18 +505,21 @@ def read_back(spark: SparkSession, places: DataFrame, folder: str, shards: DataF
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    dealt = placed.repartition("file").sortWithinPartitions("file", "offset")
+    # by bytes to read, not by the size of these rows
+    total = shards.agg(F.sum(F.col("tokens") * F.col("id_bytes"))).first()[0] or 0
+    parts = max(1, -(-total // READ_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = placed.repartition(parts, F.col("file"), F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def shard_table(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """shard, file, id_bytes, base. A row for each shard: the driver sums up their sizes (as many as partitions)."""
+    """shard, file, id_bytes, base, tokens. A row for each shard: the driver sums up their sizes (as many as partitions)."""
     sizes = manifest.groupBy("shard", "file", "id_bytes").agg(F.sum("tokens").alias("n")).orderBy("shard").collect()
     base, rows = 0, []
     for r in sizes:
-        rows.append((r["shard"], r["file"], r["id_bytes"], base))
+        rows.append((r["shard"], r["file"], r["id_bytes"], base, r["n"]))
         base += r["n"]
-    return spark.createDataFrame(rows, "shard long, file string, id_bytes int, base long")
+    return spark.createDataFrame(rows, "shard long, file string, id_bytes int, base long, tokens long")
 
 
 def digest(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

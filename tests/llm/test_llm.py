@@ -279,6 +279,45 @@ def test_token_ids_round_trip(spark):
     assert tokenbin.digest(spark, documents(spark, []), BPE).count() == 0
 
 
+def test_token_index_of_repeated_and_odd_ids(spark):
+    rows = [(None, "a"), (None, "b c"), (-(1 << 63), "d"), (-(1 << 63), "d"), (0, "e"), *[(5, prose(1 + i % 9, i)) for i in range(3000)], ((1 << 63) - 1, "f")]
+    docs = documents(spark, rows)
+    folder, manifest = tokenbin.write_shards(spark, docs, BPE)
+    index_folder, index = tokenbin.write_index(spark, manifest)
+    places = tokenbin.lookup(spark, docs.select("doc_id").unionByName(spark.range(100, 103).toDF("doc_id")), index_folder, index)
+    want = sorted((r["doc_id"] or 0, r["doc_id"] is None, r["shard"], r["offset"], r["tokens"]) for r in manifest.collect())
+    assert sorted((r["doc_id"] or 0, r["doc_id"] is None, r["shard"], r["offset"], r["tokens"]) for r in places.collect()) == want
+    files = {r["part"]: r["file"] for r in index.collect()}
+    fs, root = tokenbin.file_system(index_folder)
+    shards = {r["shard"]: r for r in tokenbin.shard_table(spark, manifest).collect()}
+    for doc_id, text in [(None, None), (-(1 << 63), "d"), (0, "e"), ((1 << 63) - 1, "f"), (77, None)]:
+        with fs.open_input_file(f"{root}/{files[tokenbin.part_of(doc_id, len(files))]}") as source:
+            one = tokenbin.IndexFile(source)
+            slots = [x for c in range(4) if (x := one.find(doc_id, c)) is not None]
+        assert len(slots) == sum(i == doc_id for i, _ in rows)
+        if text:
+            s = shards[int(slots[0]["shard"])]
+            ids = tokenbin.read_ids(folder, s["file"], s["id_bytes"], int(slots[0]["offset"]), int(slots[0]["tokens"]))
+            assert ids.tobytes() == tokenbin.encode(BPE, [text])[0]
+    with pytest.raises(ValueError, match="not distinct"):
+        tokenbin.build_mph(np.array([3, 3], dtype=np.uint64))
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(BPE, encoding="utf-8"))
+    assert tokenbin.by_pieces(spec)
+    spec["normalizer"] = {"type": "Lowercase"}
+    path = str(tmp_path / "lower.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    texts = ["Some WORDS here", "", None, "X\nY  z"]
+    want = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    assert not tokenbin.by_pieces(spec) and [np.frombuffer(r, "<u2").tolist() for r in tokenbin.encode(path, texts)] == want
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
     for n in (1, 2, 64, 5000):
