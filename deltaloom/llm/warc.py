@@ -24,6 +24,8 @@ from deltaloom.llm.common import file_system, fresh_path, materialise
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 18
 REVISIT_BYTES = 1000
+#: Packed bytes that a task reads back, about.
+READ_BYTES = 8 << 20
 LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, frame int, frame_at long, frame_bytes int, offset int, length int, page_id long"
@@ -99,7 +101,11 @@ def mark_revisits(spark: SparkSession, pages: DataFrame) -> DataFrame:
     large = pages.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest")
     copies = large.agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
     copies = materialise(spark, copies, "copies")
-    marked = pages.join(copies, "digest", "left")
+    # one plan at every size: payloads that may have copies meet their digest's verdict by a merge join of two exchanges, which
+    # adaptive execution can split at a digest with very many copies; shorter payloads move nowhere
+    is_large = F.octet_length("payload") >= REVISIT_BYTES
+    marked = pages.where(is_large).join(copies.hint("merge"), "digest", "left")
+    marked = marked.unionByName(pages.where(~is_large).withColumn("refers_to", F.lit(None).cast("long")))
     is_revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     return marked.select("page_id", "url", "payload", "digest", F.when(is_revisit, F.col("refers_to")).alias("refers_to"), is_revisit.alias("is_revisit"))
 
@@ -176,7 +182,11 @@ RECORD = "page_id long, url string, payload_bytes long, payload_digest string, r
 
 def read_bundles(spark: SparkSession, folder: str, manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     """Every record of the committed bundles, read frame by frame by their seek tables; payloads are verified."""
-    files = manifest.select("file", "frame").distinct().repartition("file", F.col("frame") % 64).sortWithinPartitions("file", "frame")
+    frames = manifest.select("file", "frame", "frame_at", "frame_bytes").distinct()
+    total = frames.agg(F.sum(F.col("frame_bytes").cast("long"))).first()[0] or 0
+    # by bytes to read, not by the size of these rows
+    parts = max(1, -(-total // READ_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    files = frames.repartition(parts, F.col("file"), F.floor(F.col("frame_at") / READ_BYTES)).select("file", "frame").sortWithinPartitions("file", "frame")
     schema = RECORD + ", payload binary" * with_payload
 
     def run(batches):
