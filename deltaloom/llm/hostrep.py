@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 
 from deltaloom.llm.common import lower_ascii, materialise
 
-#: Suffixes of two labels under which names are registered; every other suffix is the last label.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "com.mx", "gov.uk", "org.au", "org.uk")
+#: Labels under which registries of two-letter country codes take names: such a label and a country code are one suffix
+#: (co.uk, com.br, or.jp); every other suffix is the last label.
+SECOND_LEVEL = (
+    "ac", "co", "com", "ed", "edu", "gen", "go", "gob", "gouv", "gov", "govt", "gv", "id", "info", "ltd", "me", "mil", "ne", "net", "nom", "or", "org",
+    "plc", "sch", "school", "web",
+)
+TWO_LABELS = rf"(^|[.])({'|'.join(SECOND_LEVEL)})[.][a-z]{{2}}$"
 
 
 @dataclass(frozen=True)
@@ -44,17 +49,15 @@ def url_path(url: Column) -> Column:
 
 
 def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(host.rlike(TWO_LABELS), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
     """The registered domain: the suffix and one label before it; an IPv4 address is its own domain."""
-    two = F.substring_index(host, ".", -2)
     return (
         F.when(host.rlike(r"^[0-9.]+(:[0-9]+)?$"), host)
-        .when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3))
-        .otherwise(two)
+        .when(host.rlike(TWO_LABELS), F.substring_index(host, ".", -3))
+        .otherwise(F.substring_index(host, ".", -2))
     )
 
 
