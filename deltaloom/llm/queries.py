@@ -36,7 +36,9 @@ def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade"))
+    """Grades: 0 not toxic, 1 toxic in a text of good quality (or none given), 2 toxic and of low quality."""
+    grade = F.col("toxic") * (1 + F.coalesce((F.col("quality") == 0).cast("int"), F.lit(0)))
+    labels = _read(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
     return toxicity.severities(spark, _read(spark, sf_dir, "documents"), labels)
 
 
@@ -97,7 +99,7 @@ def _url_sql() -> str:
     az, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     two = "array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')"
     three = "array_to_string(list_slice(string_split(host, '.'), -3, -1), '.')"
-    suffixes = ", ".join(f"'{s}'" for s in hostrep.TWO_LABEL_SUFFIXES)
+    long_suffix = f"regexp_matches(host, '{hostrep.TWO_LABELS}')"
     rules = ", ".join(f"({i}, '{r.verdict}', '{r.host}', '{r.path}')" for i, r in enumerate(URL_RULES))
 
     def strength(level: str) -> str:
@@ -114,8 +116,8 @@ outcomes AS (
   SELECT host, (toxic = 1 OR quality = 0) AS bad FROM judged
   JOIN labels ON doc_id = try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS BIGINT)),
 hosts0 AS (
-  SELECT host, CASE WHEN regexp_matches(host, '^[0-9.]+(:[0-9]+)?$') THEN host WHEN {two} IN ({suffixes}) THEN {three} ELSE {two} END AS domain,
-    CASE WHEN {two} IN ({suffixes}) THEN {two} ELSE list_last(string_split(host, '.')) END AS suffix,
+  SELECT host, CASE WHEN regexp_matches(host, '^[0-9.]+(:[0-9]+)?$') THEN host WHEN {long_suffix} THEN {three} ELSE {two} END AS domain,
+    CASE WHEN {long_suffix} THEN {two} ELSE list_last(string_split(host, '.')) END AS suffix,
     count(*)::DOUBLE AS n, sum(bad::INT)::DOUBLE AS bad
   FROM outcomes WHERE bad IS NOT NULL AND host <> '' GROUP BY 1, 2, 3),
 domains0 AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts0 GROUP BY 1, 2),

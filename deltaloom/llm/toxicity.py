@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Labelled rows and features that the fit takes at most (rows are drawn by a hash of their id).
-TRAIN_ROWS, MOST_FEATURES, LEAST_ROWS = 12_000, 5_000, 4
-#: Features whose rows are not this many standard deviations from the share of all rows are noise.
-LEAST_Z = 3.0
+#: Labelled rows that the fit takes at most (drawn by a hash of their id): the bound of the classifier's sample.
+TRAIN_ROWS = 12_000
+#: The classifier's choice of features, made on that sample: rows that have it, at least, and standard deviations by which the
+#: share of grades above the least among them differs from that of all rows. However many pass are used.
+LEAST_ROWS, LEAST_Z = 4, 3.0
 PREFIX = 5
 ROUNDS, RATE, PENALTY = 250, 0.1, 2e-4
 _WORD = re.compile(r"[^\W\d_]+")
@@ -44,7 +45,7 @@ class Model:
 
 
 def fit(rows: np.ndarray, cols: np.ndarray, n_cols: int, grades: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) by Adam on the penalised log likelihood; rows and cols are the ones of a 0/1 matrix."""
+    """(weights, thresholds) by Adam, with a step that falls to zero, on the penalised log likelihood; rows and cols are the ones of a 0/1 matrix."""
     n, steps = len(grades), int(grades.max())
     share = np.array([(grades <= k).mean() for k in range(steps)])
     first = np.log(np.clip(share, 1e-6, 1 - 1e-6) / np.clip(1 - share, 1e-6, 1))
@@ -68,38 +69,29 @@ def fit(rows: np.ndarray, cols: np.ndarray, n_cols: int, grades: np.ndarray, rou
         for k in range(steps - 1):
             grad[n_cols + 1 + k] = by_theta[k + 1 :].sum() * np.exp(params[n_cols + 1 + k])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        params = params - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        params = params - RATE * (1 - (t - 1) / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     thetas = np.concatenate([params[n_cols : n_cols + 1], params[n_cols] + np.cumsum(np.exp(params[n_cols + 1 :]))])
     return params[:n_cols], thetas
 
 
-def graded(rows: np.ndarray, cols: np.ndarray, n_cols: int, labels: np.ndarray) -> np.ndarray:
-    """Grades 0, 1, 2 from labels 0 and 1: rows labelled 1 that hold more marks than their median are grade 2.
-
-    Marks are features at least twenty times as frequent in rows labelled 1. Labels above 1 are grades already.
-    """
-    if labels.max(initial=0) != 1:
-        return labels
-    toxic = labels == 1
-    inside = np.bincount(cols[toxic[rows]], minlength=n_cols) / max(1, toxic.sum())
-    outside = np.bincount(cols[~toxic[rows]], minlength=n_cols) / max(1, (~toxic).sum())
-    marks = np.bincount(rows, (inside >= 20 * outside + 1e-3)[cols], minlength=len(labels))
-    return labels + (toxic & (marks > np.median(marks[toxic])))
-
-
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fits on at most ``rows`` rows of labels(doc_id, grade) that have a document; null ids and grades don't count.
 
-    grade is 0, 1, 2, ...; binary grades are refined by graded(). Without two grades every text gets the least grade.
+    grade is 0, 1, 2, ...; the model has a threshold below each grade up to the largest, whether or not all occur. Labels without
+    a document use nothing up; a doc_id that documents repeat counts once, with the text that sorts first. Without two
+    grades every text gets the only one (0 without any).
     """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     drawn = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("long").alias("grade"))
-        .where("doc_id is not null and grade is not null")
+        .where("doc_id is not null and grade >= 0")
+        .distinct()
+        .join(texts.select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "grade")
         .limit(rows)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "grade", "text")  # at most TRAIN_ROWS small rows
+    sample = texts.join(F.broadcast(drawn), "doc_id")  # at most TRAIN_ROWS small rows
+    sample = sample.groupBy("doc_id", "grade").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -109,23 +101,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     table = sample.mapInArrow(run, "doc_id long, grade long, found array<string>").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")])
     grades = table["grade"].to_numpy()
     if len(set(grades.tolist())) < 2:
-        return Model({}, [60.0])
+        only = int(grades[0]) if len(grades) else 0
+        return Model({}, [-60.0] * only + [60.0])
     found = table["found"].combine_chunks()
     names = found.flatten().dictionary_encode()
     cols, sizes = names.indices.to_numpy(), np.diff(found.offsets.to_numpy())
     at = np.repeat(np.arange(len(grades)), sizes)
     df = np.bincount(cols, minlength=len(names.dictionary))
-    toxic = grades > 0
+    toxic = grades > grades.min()
     inside = np.bincount(cols[toxic[at]], minlength=len(df))
     share = toxic.mean()
     z = np.abs(inside - share * df) / np.sqrt(share * (1 - share) * df)
-    order = np.lexsort((np.arange(len(df)), -np.where(df >= LEAST_ROWS, z, -1)))[:MOST_FEATURES]
-    order = order[(df[order] >= LEAST_ROWS) & (z[order] >= LEAST_Z)]
+    order = np.flatnonzero((df >= LEAST_ROWS) & (z >= LEAST_Z))
     number = np.full(len(df), -1)
     number[order] = np.arange(len(order))
     keep = number[cols] >= 0
     at, cols = at[keep], number[cols[keep]]
-    weights, thresholds = fit(at, cols, len(order), graded(at, cols, len(order), grades))
+    weights, thresholds = fit(at, cols, len(order), grades)
     words = names.dictionary.take(pa.array(order)).to_pylist()
     return Model({w: float(x) for w, x in zip(words, weights) if abs(x) > 1e-4}, thresholds.tolist())
 

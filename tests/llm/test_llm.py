@@ -122,9 +122,10 @@ def test_groups_equal_exact_similarity(spark, limits):
     assert {r["doc_id"]: r["component_id"] for r in got} == components(links, sets)
 
 
-def test_decontamination_equals_brute_force(spark):
-    items = [(k, prose(20 + 3 * k, 900 + k)) for k in range(6)] + [(90, "too short"), (91, None)]
-    rows = [*ODD]
+@pytest.mark.parametrize("cells", [decontam.CELLS, 4096])
+def test_decontamination_equals_brute_force(spark, cells, monkeypatch):
+    items = [(k, prose(20 + 3 * k, 900 + k)) for k in range(6)] + [(90, "Too, short"), (93, "qqq"), (91, None), (92, " ?! "), (94, "私は学生です 今日"), (0, prose(7, 955)), (95, prose(1500, 99))]
+    rows = [*ODD, (70, "this is too short, really"), (71, "too much, short"), (72, "a qqq b"), (73, "昨日、私は学生です今日も"), (74, prose(40, 8) + " " + prose(1500, 99)), (75, prose(7, 955))]
     for k, (i, t) in enumerate(items[:6]):
         words = t.split()
         for edits in range(0, 8):
@@ -132,16 +133,31 @@ def test_decontamination_equals_brute_force(spark):
             for _ in range(edits):
                 own[r.randrange(len(own))] = "zz"
             rows.append((1000 + 10 * k + edits, prose(30, edits) + " " + " ".join(own).upper() + "! " + prose(30, edits + 1)))
-    found = decontam.find_leaks(spark, documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    if cells == 4096:  # in the workers too: the bound is on arrays, never on what is found
+        items = [(i, t) for i, t in items if t and i != 95]
+        index = decontam.Index(items, 0.8)
+        docs = [np.array([index.vocabulary.get(w, 0) for w in decontam.words(t)], dtype=np.int64) for i, t in rows if i != 74]
+        plain = index.matches(docs)
+        monkeypatch.setattr(decontam, "CELLS", cells)
+        assert decontam.Index(items, 0.8).matches(docs) == plain and len(plain) > 20
+        return
+    bench = spark.createDataFrame([(*x, "clash") for x in [*items, items[0]]], "item_id long, text string, doc_id string")
     want = set()
     for d, t in rows:
-        for i, item in items[:6]:
+        for i, item in items:
             p = decontam.words(item)
-            if min(decontam._scores([hash(x) | 1 for x in p], [hash(x) | 1 for x in decontam.words(t)], True)) <= decontam.edits_allowed(len(p)):
+            if p and min(decontam._scores([hash(x) | 1 for x in p], [hash(x) | 1 for x in decontam.words(t)], True)) <= decontam.edits_allowed(len(p)):
                 want.add((d, i))
-    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
-    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 20
-    assert decontam.find_leaks(spark, documents(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    for block in (decontam.BLOCK_ITEMS, 4):
+        found = decontam.find_leaks(spark, documents(spark, rows), bench, block=block).collect()
+        got = {(r["doc_id"], r["item_id"]) for r in found}
+        assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 20 and {(70, 90), (72, 93), (73, 94), (74, 95), (75, 0)} <= got
+    docs = documents(spark, rows)
+    kept = decontam.without_leaks(spark, docs.withColumn("similarity", F.lit(1)), bench)
+    assert kept.columns == [*docs.columns, "similarity"]
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted(d or 0 for d, _ in rows if d not in {x for x, _ in got})
+    assert decontam.find_leaks(spark, documents(spark, []), bench).count() == 0
+    assert decontam.find_leaks(spark, docs, bench.limit(0)).count() == 0 and decontam.without_leaks(spark, docs, bench.limit(0)).count() == len(rows)
 
 
 def test_edit_distance():
@@ -163,21 +179,53 @@ def test_edit_distance():
 def test_toxicity_learns_and_grades(spark):
     bad = ["vile", "scorn", "filth", "spite"]
     rows, labels = [*ODD], []
+    grade = lambda i: 0 if i % 4 else 1 + i // 4 % 2
     for i in range(400):
         text = prose(60, 2000 + i).split()
-        if i % 4 == 0:
-            for k in range(1 + i % 3):
-                text[10 * k + 3] = bad[(i // 4 + k) % 4]
+        for k in range(2 * grade(i)):
+            text[10 * k + 3] = bad[(i // 4 + k) % 4]
         rows.append((5000 + i, " ".join(text)))
         if i < 300:
-            labels.append((5000 + i, int(i % 4 == 0)))
-    table = spark.createDataFrame([*labels, (None, 1), (1, None)], "doc_id long, grade long")
-    got = {r["doc_id"]: r for r in toxicity.severities(spark, documents(spark, rows), table).collect()}
+            labels.append((5000 + i, grade(i)))
+    table = spark.createDataFrame([*labels, (None, 1), (1, None), *[(10**6 + k, 1) for k in range(500)]], "doc_id long, grade long")
+    docs = documents(spark, [*rows, *rows[200:220]])
+    found = toxicity.severities(spark, docs, table, rows=300)
+    assert found.count() == len(rows) + 20
+    got = {r["doc_id"]: r for r in found.collect()}
     held = range(300, 400)
-    assert sum(got[5000 + i]["toxic"] == (i % 4 == 0) for i in held) >= 97
+    assert sum(got[5000 + i]["toxic"] == (grade(i) > 0) for i in held) >= 97
+    by_grade = [np.mean([got[5000 + i]["severity"] for i in held if grade(i) == g]) for g in range(3)]
+    assert by_grade[0] < 0.1 < by_grade[1] < by_grade[2] <= 2
     assert all(0 <= r["severity"] <= 2 for r in got.values()) and not got[1]["toxic"] and not got[6]["toxic"]
     none = toxicity.severities(spark, documents(spark, ODD), table.limit(0))
     assert none.count() == len(ODD) and none.where("toxic").count() == 0
+    assert toxicity.severities(spark, documents(spark, []), table).count() == 0
+    high = toxicity.train(docs, table.withColumn("grade", F.col("grade") + 1))
+    assert {"vile", "filth"} <= {w for w, x in high.weights.items() if x > 0} and len(high.thresholds) == 3
+
+
+def test_ordinal_fit_equals_plain_likelihood():
+    """The fitted weights and thresholds are where the penalised likelihood, written out plainly, is flat."""
+    rng = np.random.default_rng(2)
+    x = rng.random((300, 3)) < 0.4
+    grades = np.digitize(x @ np.array([2.0, -1.0, 0.5]) + rng.logistic(size=300), [0.3, 2.0])
+    rows, cols = np.nonzero(x)
+    weights, thetas = toxicity.fit(rows, cols, 3, grades, rounds=3000)
+
+    def loss(w, t):
+        below = np.concatenate([np.zeros((300, 1)), 1 / (1 + np.exp(-(np.array(t)[None] - (x @ w)[:, None]))), np.ones((300, 1))], axis=1)
+        return -np.log(np.diff(below, axis=1)[np.arange(300), grades]).mean() + toxicity.PENALTY / 2 * (w**2).sum()
+
+    best = loss(weights, thetas)
+    for k in range(5):
+        for step in (-0.02, 0.02):
+            w, t = weights.copy(), thetas.copy()
+            (w if k < 3 else t)[k if k < 3 else k - 3] += step
+            assert loss(w, t) > best
+    model = toxicity.Model({"a": float(weights[0]), "b": float(weights[1])}, thetas.tolist())
+    chance = model.chances(["a", "a b", None])
+    for text_chance, linear in zip(chance, [weights[0], weights[0] + weights[1], 0.0]):
+        assert np.allclose(np.cumsum(text_chance)[:2], 1 / (1 + np.exp(linear - thetas))) and np.isclose(text_chance.sum(), 1)
 
 
 def test_warc_round_trip(spark):
@@ -334,6 +382,13 @@ def test_url_parts_and_reputation(spark):
     assert got[2] == got[3] == ("", "", None, "allow") and got[4] == ("a.com", "", None, "allow")
     assert got[5][2:] == ("example.com/en/7", "allow") and got[6][2:] == ("net/de/", "allow") and got[7][2:] == ("example.net/de/8", "block")
     assert hostrep.url_filter(spark, pages.limit(0), outcomes.limit(0), queries.URL_RULES).count() == 0
+    long = "http://a.com/" + "x" * 200_000 + "?q"
+    odd = spark.createDataFrame([(1, long, "r", "p", 1.0), (1, long, "r", "p", 1.0), (None, "http://a.com/" + "y", None, None, None)], "page_id long, url string, host string, path string, rate double")
+    clash = hostrep.url_filter(spark, odd, outcomes.withColumn("n", F.lit(1)).withColumn("suffix", F.lit("z")), queries.URL_RULES).collect()
+    assert len(clash) == 3 and [len(r["path"]) for r in clash if r["page_id"]] == [200_001] * 2 and all(r["host"] == "a.com" for r in clash)
+    hosts = spark.createDataFrame([("www.shop.co.uk",), ("shop.com",), ("a.b.shop.gov.br",), ("x.co.com",), ("10.0.0.1:80",), ("localhost",)], "host string")
+    split = hosts.select("host", hostrep.suffix_of(F.col("host")), hostrep.domain_of(F.col("host"))).collect()
+    assert [tuple(r)[1:] for r in split] == [("co.uk", "shop.co.uk"), ("com", "shop.com"), ("gov.br", "shop.gov.br"), ("com", "co.com"), ("1:80", "10.0.0.1:80"), ("localhost", "localhost")]
 
 
 def test_language_models(spark):
