@@ -301,15 +301,23 @@ def test_odd_cell_does_not_set_the_scale(spark):
     assert abs((half.n_tokens * half.probability).sum() / half.n_tokens.sum() - 0.5) < 1e-9
 
 
-def test_katz_equals_brute_force(spark):
-    rows = [*ODD, *[(i, prose(30, i % 40) + " same end") for i in range(200, 330)]]
-    got = sorted(tuple(r) for r in katz.score_documents(spark, documents(spark, rows).repartition(5)).collect() if r["doc_id"] is not None)
-    brute, prob, uni = katz_brute.score(rows)
+@pytest.mark.parametrize("bucket_bytes", [katz.BUCKET_BYTES, 4000])
+def test_katz_equals_brute_force(spark, bucket_bytes):
+    common = "all rights reserved by the same old owner "
+    rows = [*ODD, *[(i, common * (i % 3) + prose(30, i % 40) + " same end") for i in range(200, 330)], *[(i, common) for i in range(400, 460)]]
+    docs = documents(spark, rows).repartition(5)
+    got = sorted(tuple(r) for r in katz.score_documents(spark, docs, bucket_bytes=bucket_bytes).collect() if r["doc_id"] is not None)
+    brute, model = katz_brute.score(rows)
     want = sorted((rows[k][0], *v) for k, v in brute.items() if rows[k][0] is not None)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want])
-    for h in (1, b"same", VOCABULARY[0].encode()):
-        assert abs(sum(prob(h, w) for w in uni) + prob(h, b"never seen") - 1) < 1e-9
+    assert any(all(c > katz.K for c in own.values()) for own in model.after.values())
+    for h in ((1, 1), (b"same", b"old"), (b"old", b"same"), (b"x", VOCABULARY[0].encode()), (b"the", b"never")):
+        assert abs(sum(model.prob(h, w) for w in model.uni) + model.prob(h, b"never seen") - 1) < 1e-9
+    table, plan = katz.learn(spark, docs.select("doc_id", "text"), bucket_bytes)
+    key = lambda w: 0 if w is None else 1 if w == 1 else katz.word_key(w)
+    stored = {tuple(x % (1 << 64) for x in r[:3]): r[3] for r in katz.ngrams(spark, table, plan).collect()}
+    assert stored == {tuple(map(key, g)): c for g, c in model.counts[3].items()}
     assert katz.score_documents(spark, documents(spark, [])).count() == 0
 
 
