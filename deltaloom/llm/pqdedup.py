@@ -1,7 +1,8 @@
 """Embedding near-duplicates by product quantisation.
 
 Unit vectors are dealt to inverted lists (the nearest of K coarse centroids); the residual of each is coded in subspaces.
-A query probes every list whose border with its own list is within reach of a linked vector; inside a list,
+A query probes every list whose border with its own list is within reach of a linked vector, by distances to borders that are
+measured on the sample along its own directions, whatever its geometry; inside a list,
 table look-ups give the distance of the query to each code (asymmetric), and codes that the quantisation error
 cannot rule out are compared by exact cosine in double precision. Equal vectors count once, with their number.
 
@@ -18,10 +19,13 @@ from pyspark.sql import functions as F
 from deltaloom.llm.common import connected_components, materialise, star_labels
 
 COSINE = 0.95
-TRAIN_ROWS, MOST_LISTS, SUBSPACES, CODES = 16_384, 1_024, 8, 256
-#: A linked vector lies off by at most sqrt(2 - 2 cosine); in d dimensions the part of that towards a border is about
-#: its d-th root's share. Borders within REACH such shares are probed (all that are possible, if that is less).
-REACH = 3.0
+#: Vectors of the sample that centroids, codebooks and the reach are fitted on: at least so many, and PER_LIST for each list.
+TRAIN_ROWS, PER_LIST, SUBSPACES, CODES = 16_384, 4, 8, 256
+#: Lists are about the square root of the vectors, up to what a sample of this many can support.
+MOST_TRAIN = 1 << 18
+#: Share of the sample's trial pairs, made at the largest linked distance, that the reach must cover; trial vectors, and
+#: neighbours of each that give a direction.
+COVERED, TRIALS, NEIGHBOURS = 0.995, 4_096, 4
 BLOCK = 2_048
 
 
@@ -53,13 +57,14 @@ def kmeans(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8
 class Quantiser:
     """Coarse centroids and subspace codebooks."""
 
-    def __init__(self, sample: np.ndarray, lists: int, seed: int = 0):
+    def __init__(self, sample: np.ndarray, lists: int, cosine: float = COSINE, seed: int = 0):
         rng = np.random.default_rng(seed)
         self.dim = sample.shape[1]
         self.width = -(-self.dim // SUBSPACES)
         self.coarse = kmeans(sample, lists, rng)
         rest = self._split(sample - self.coarse[_nearest(sample, self.coarse)])
         self.books = [kmeans(rest[:, s], CODES, rng) for s in range(SUBSPACES)]
+        self.reach = self._reach(sample, np.sqrt(2 - 2 * cosine), rng)
 
     def _split(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, SUBSPACES * self.width - self.dim))).reshape(len(x), SUBSPACES, self.width)
@@ -72,14 +77,44 @@ class Quantiser:
         left = rest - np.stack([self.books[s][codes[:, s]] for s in range(SUBSPACES)], axis=1)
         return home, codes.astype(np.uint8), np.sqrt((left**2).sum((1, 2)))
 
-    def probes(self, x: np.ndarray, home: np.ndarray, cosine: float) -> np.ndarray:
-        """(vectors, lists): which lists each vector probes; its own among them."""
-        radius = np.sqrt(2 - 2 * cosine)
-        reach = min(radius, REACH * radius / np.sqrt(self.dim))
-        apart = (self.coarse**2).sum(1)[None] - 2 * x @ self.coarse.T
+    def _beyond(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors, lists): how much farther each centroid is than the own one, squared, and twice the centroids' distance."""
+        squares = (self.coarse**2).sum(1)
+        apart = squares[None] - 2 * x @ self.coarse.T
         apart -= apart[np.arange(len(x)), home][:, None]
-        between = np.sqrt(np.maximum(((self.coarse[home][:, None] - self.coarse[None]) ** 2).sum(2), 0)) if len(x) <= 512 else None
-        return apart <= 2 * reach * between
+        between = np.maximum(squares[home][:, None] + squares[None] - 2 * self.coarse[home] @ self.coarse.T, 0)
+        return apart, 2 * np.sqrt(between)
+
+    def _reach(self, sample: np.ndarray, radius: float, rng: np.random.Generator) -> float:
+        """How far beyond a vector's borders the lists of its linked vectors lie, in all but 1 - COVERED of the trials.
+
+        A trial goes from a vector of the sample towards one of its nearest others, as far as a linked vector can be, so it
+        follows the directions that the data has, be they few or many. Never more than the radius, at which no link
+        can be missed (the distance to a border is at most that to a vector beyond it).
+        """
+        own = sample[rng.choice(len(sample), min(TRIALS, len(sample)), replace=False)]
+        needs = []
+        for i in range(0, len(own), 256):
+            x = own[i : i + 256]
+            like = x @ sample.T
+            like[like > 1 - 1e-9] = -2  # the vector itself and its equals
+            near = np.argpartition(-like, min(NEIGHBOURS, len(sample) - 1), axis=1)[:, :NEIGHBOURS]
+            home = _nearest(x, self.coarse)
+            apart, between = self._beyond(x, home)
+            for k in range(near.shape[1]):
+                step = sample[near[:, k]] - x
+                length = np.linalg.norm(step, axis=1, keepdims=True)
+                there = _nearest(x + radius * step / np.maximum(length, 1e-12), self.coarse)
+                rows = np.flatnonzero((there != home) & (length[:, 0] > 1e-9))
+                need = np.zeros(len(x))
+                need[rows] = apart[rows, there[rows]] / np.maximum(between[rows, there[rows]], 1e-12)
+                needs.append(need)
+        return float(min(radius, 1.1 * np.quantile(np.concatenate(needs), COVERED))) if needs else radius
+
+    def probes(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """(vectors, lists): which lists each vector probes; its own among them."""
+        apart, between = self._beyond(x, home)
+        return apart <= self.reach * between
 
     def distances(self, queries: np.ndarray, home: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric squared distances of queries to the coded vectors of one list, by table look-up."""
@@ -97,7 +132,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _group_links(quantiser: Quantiser, home: int, cosine: float, base: tuple, queries: tuple):
+def _group_links(quantiser: Quantiser | None, home: int, cosine: float, base: tuple, queries: tuple):
     """Links of queries to base vectors (each: nodes, numbers of copies, vectors, codes, errors): per query the copies
     linked, and the pairs, as stars."""
     radius = np.sqrt(2 - 2 * cosine)
@@ -105,7 +140,10 @@ def _group_links(quantiser: Quantiser, home: int, cosine: float, base: tuple, qu
     targets = unit(base[2])
     for i in range(0, len(queries[0]), 512):
         own = unit(queries[2][i : i + 512])
-        close = np.sqrt(np.maximum(quantiser.distances(own, home, base[3]), 0)) <= radius + base[4][None] + 1e-3
+        if quantiser is None:
+            close = np.ones((len(own), len(targets)), dtype=bool)
+        else:
+            close = np.sqrt(np.maximum(quantiser.distances(own, home, base[3]), 0)) <= radius + base[4][None] + 1e-3
         x, y = np.nonzero(close)
         if len(x) * 50 > close.size:
             sure = (own @ targets.T)[x, y] >= cosine
@@ -122,17 +160,18 @@ def _group_links(quantiser: Quantiser, home: int, cosine: float, base: tuple, qu
 
 def _dimension(spark: SparkSession, nodes: DataFrame, count: int, cosine: float) -> DataFrame:
     """(node, n, u, v): copies linked by node (n, else null) and edges, of distinct vectors of one length."""
-    sample = nodes.select("vector").orderBy("node").limit(TRAIN_ROWS).toArrow()["vector"]
-    lists = int(min(MOST_LISTS, max(1, round(np.sqrt(count)))))
-    quantiser = Quantiser(unit(_matrix(sample)), lists)
+    lists = int(min(MOST_TRAIN // PER_LIST, max(1, round(np.sqrt(count)))))
+    drawn = nodes.select("vector").orderBy(F.xxhash64("node"), "node").limit(max(TRAIN_ROWS, PER_LIST * lists))
+    quantiser = Quantiser(unit(_matrix(drawn.toArrow()["vector"])), lists, cosine)
+    step = max(1, min(512, (1 << 22) // lists))
 
     def index(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
                 x = unit(_matrix(part["vector"]))
                 home, codes, error = quantiser.encode(x)
-                probed = quantiser.probes(x, home, cosine)
+                probed = quantiser.probes(x, home)
                 yield pa.RecordBatch.from_arrays(
                     [part["node"], part["copies"], part["vector"], pa.array(home), pa.array([c.tobytes() for c in codes]), pa.array(error),
                      pa.array([np.flatnonzero(p) for p in probed], pa.list_(pa.int64()))],
@@ -143,19 +182,31 @@ def _dimension(spark: SparkSession, nodes: DataFrame, count: int, cosine: float)
     indexed = materialise(
         spark, nodes.mapInArrow(index, f"node long, copies long, vector {kind}, home long, codes binary, error double, probes array<long>"), "indexed"
     )
+    return _searched(spark, indexed, quantiser, cosine)
+
+
+def _few(spark: SparkSession, nodes: DataFrame, cosine: float) -> DataFrame:
+    """_dimension() of vectors of rare lengths: those of a length are one list, in which every pair is compared."""
+    home = F.size("vector").cast("long")
+    rows = nodes.select(
+        "node", "copies", "vector", home.alias("home"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), F.array(home).alias("probes")
+    )
+    return _searched(spark, rows, None, cosine)
+
+
+def _searched(spark: SparkSession, indexed: DataFrame, quantiser: Quantiser | None, cosine: float) -> DataFrame:
     asked = indexed.select("node", "copies", "vector", F.explode("probes").alias("home"))
-    cells = {r["home"]: [r["count"], 0] for r in indexed.groupBy("home").count().collect()}  # at most MOST_LISTS rows
-    for r in asked.groupBy("home").count().collect():
-        if r["home"] in cells:
-            cells[r["home"]][1] = r["count"]
-    parts = spark.createDataFrame([(h, -(-b // BLOCK), max(1, -(-q // BLOCK))) for h, (b, q) in cells.items()], "home long, bs long, qs long")
+    # one row for each list, with the parts that its vectors and its queries are cut into
+    sizes = indexed.groupBy("home").agg(F.count("*").alias("b")).join(asked.groupBy("home").agg(F.count("*").alias("q")), "home")
+    cells = lambda n: F.ceil(F.col(n) / BLOCK).cast("long")
+    parts = materialise(spark, sizes.select("home", cells("b").alias("bs"), cells("q").alias("qs")), "parts")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     salt = lambda n: F.pmod(F.xxhash64("node"), n)
     empty = F.lit(None)
-    base = indexed.join(F.broadcast(parts), "home").select(
+    base = indexed.join(parts, "home").select(
         "home", salt(F.col("bs")).alias("b"), every(F.col("qs")).alias("q"), F.lit(0).alias("kind"), "node", "copies", "vector", "codes", "error"
     )
-    query = asked.join(F.broadcast(parts), "home").select(
+    query = asked.join(parts, "home").select(
         "home", every(F.col("bs")).alias("b"), salt(F.col("qs")).alias("q"), F.lit(1).alias("kind"), "node", "copies", "vector",
         empty.cast("binary").alias("codes"), empty.cast("double").alias("error"),
     )
@@ -169,7 +220,7 @@ def _dimension(spark: SparkSession, nodes: DataFrame, count: int, cosine: float)
             n = int((table["kind"].to_numpy() == 0).sum())
             if n and n < len(table):
                 columns = [table["node"].to_numpy(), table["copies"].to_numpy(), _matrix(table["vector"])]
-                codes = np.frombuffer(b"".join(table["codes"].slice(0, n).to_pylist()), np.uint8).reshape(n, SUBSPACES)
+                codes = None if quantiser is None else np.frombuffer(b"".join(table["codes"].slice(0, n).to_pylist()), np.uint8).reshape(n, SUBSPACES)
                 base = (*(c[:n] for c in columns), codes, table["error"].to_numpy()[:n])
                 linked, nodes, low = _group_links(quantiser, table["home"][0].as_py(), cosine, base, tuple(c[n:] for c in columns))
                 some, star = linked > 0, nodes != low
@@ -210,23 +261,30 @@ def near_duplicates(
     """
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
     finite = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = rows.withColumn("node", F.when(F.coalesce(finite, F.lit(False)), F.xxhash64(F.size("vector"), "vector")))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.any_value("vector").alias("vector"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
-    nodes = materialise(spark, nodes, "vectors")
-    lengths = {r["d"]: r["count"] for r in nodes.groupBy(F.size("vector").alias("d")).count().collect()}
-    labels = nodes.select("node", "copies", "least").withColumn("linked", F.lit(0).cast("long")).withColumn("root", F.col("node"))
+    # equal vectors by 128 bits; a number of its own for each, fixed by the writing
+    good = F.coalesce(finite, F.lit(False))
+    same = [F.when(good, F.xxhash64(F.lit(seed), F.size("vector"), F.transform("vector", lambda x: x + F.lit(0.0)))) for seed in (1, 2)]
+    rows = rows.withColumns({"k1": same[0], "k2": same[1]})
+    nodes = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.any_value("vector").alias("vector"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
+    nodes = materialise(spark, nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    sizes = nodes.groupBy(F.size("vector").alias("d")).count()
+    lengths = {r["d"]: r["count"] for r in sizes.where(F.col("count") > BLOCK).collect()}  # the frequent ones have a quantiser each
+    labels = nodes.select("node", "k1", "k2", "copies", "least").withColumn("linked", F.lit(0).cast("long")).withColumn("root", F.col("node"))
     found = None
+    rare = nodes.where(~F.size("vector").isin(*lengths)) if lengths else nodes
+    if not rare.isEmpty():
+        found = _few(spark, rare, cosine)
     for d, count in sorted(lengths.items()):
         own = _dimension(spark, nodes.where(F.size("vector") == d), count, cosine)
         found = own if found is None else found.unionByName(own)
     if found is not None:
         counts = found.where("n is not null").groupBy("node").agg(F.sum("n").alias("linked"))
         roots = connected_components(spark, found.where("u is not null").select("u", "v"))
-        labels = nodes.select("node", "copies", "least").join(counts, "node", "left").join(roots, "node", "left")
+        labels = nodes.select("node", "k1", "k2", "copies", "least").join(counts, "node", "left").join(roots, "node", "left")
         labels = labels.withColumn("root", F.coalesce("root", "node"))
-    least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = labels.join(least, "root").select("node", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")
+    least = materialise(spark, labels.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    labels = labels.join(least, "root").select("k1", "k2", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")
     labels = materialise(spark, labels, "labels")
-    out = rows.select("vec_id", "node").join(labels, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    out = rows.select("vec_id", "k1", "k2").join(labels, ["k1", "k2"], "left")
+    component = F.when(F.col("k1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
