@@ -43,8 +43,18 @@ def _nearest(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return out
 
 
-def kmeans(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
-    centers = points[rng.choice(len(points), min(k, len(points)), replace=False)].copy()
+def spread(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k points to start from, each drawn by its squared distance to those drawn before; fewer if the rest are equal to them."""
+    found = [points[rng.integers(len(points))]]
+    far = ((points - found[0]) ** 2).sum(1)
+    while len(found) < k and far.max() > 1e-12:
+        found.append(points[rng.choice(len(points), p=far / far.sum())])
+        far = np.minimum(far, ((points - found[-1]) ** 2).sum(1))
+    return np.stack(found)
+
+
+def kmeans(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8, start: np.ndarray | None = None) -> np.ndarray:
+    centers = start if start is not None else points[rng.choice(len(points), min(k, len(points)), replace=False)].copy()
     for _ in range(rounds):
         near = _nearest(points, centers)
         sums = np.zeros_like(centers)

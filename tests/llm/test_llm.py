@@ -302,11 +302,59 @@ def test_raking_meets_its_targets(spark):
     rows = [(i, prose(20 + i % 300, i), random.Random(i).choice(["de", "en", None]), f"s{i % 3}") for i in range(600)] + [(None, None, None, None), (9, "", "en", "s0")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     out = mixing.sample(spark, docs).toPandas()
-    assert len(out) == len(rows) and abs(out.probability.max() - 1) < 1e-9
+    mass = out.n_tokens * out.weight
+    assert len(out) == len(rows) and mass[out.probability > 1 + 1e-9].sum() <= mixing.RARE * mass.sum() and out[out.n_tokens == 0].copies.tolist() == [1, 1]
+    assert out.n_tokens.sum() == sum(len((t or "").split()) for _, t, _, _ in rows)
     drawn = out.assign(t=out.n_tokens * out.probability).groupby("source").t.sum()
     want = mixing.tempered(out.groupby("source").n_tokens.sum().to_dict())
     assert all(abs(drawn[s] / drawn.sum() - want[s]) < 1e-6 for s in want if want[s])
-    assert mixing.mixed(spark, docs, seed=0).count() == out.kept.sum() and mixing.sample(spark, docs.limit(0)).count() == 0
+    clash = docs.withColumns({c: F.lit(1) for c in ("_m_p", "row", "copies", "topic", "n_tokens", "weight", "probability")})
+    mixed = mixing.mixed(spark, clash, seed=0)
+    assert mixed.dtypes == clash.dtypes and mixed.count() == out.copies.sum()
+    assert mixing.sample(spark, docs.limit(0)).count() == mixing.mixed(spark, docs.limit(0)).count() == 0
+    by_column = mixing.sample(spark, docs.withColumn("kind", F.pmod("doc_id", F.lit(3))), {"topic": {"0": 0.2, "1": 0.3, "2": 0.5}}, topic_col="kind").toPandas()
+    shares = by_column.assign(t=by_column.n_tokens * by_column.probability).groupby("topic").t.sum()
+    assert np.allclose([shares[k] / shares.sum() for k in "012"], [0.2, 0.3, 0.5], atol=1e-6)
+
+
+def test_mixing_equals_plain_raking(spark):
+    """sample() against raking written out plainly over dictionaries, and the draw by hand."""
+    rows = [(i, prose(5 + i % 50, i), "en" if i % 5 else "de", f"s{i * i % 4}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.sample(spark, docs, seed=3).toPandas()
+    cells = out.groupby(list(mixing.DIMENSIONS)).n_tokens.sum().to_dict()
+    mass, total = {c: float(t) for c, t in cells.items()}, sum(cells.values())
+    for _ in range(300):
+        for d in range(3):
+            now, share = {}, {}
+            for c, m in mass.items():
+                now[c[d]] = now.get(c[d], 0) + m
+            for c, t in cells.items():
+                share[c[d]] = share.get(c[d], 0) + t
+            share = {k: v**mixing.POWER for k, v in share.items()}
+            mass = {c: m * total * share[c[d]] / sum(share.values()) / now[c[d]] for c, m in mass.items()}
+    weight = {c: mass[c] / cells[c] for c in cells}
+    held, one = 0.0, None
+    for c in sorted(weight, key=weight.get, reverse=True):
+        held += mass[c]
+        if held > mixing.RARE * total:
+            one = weight[c]
+            break
+    got = [weight[tuple(r)] for r in out[list(mixing.DIMENSIONS)].to_numpy()]
+    assert np.allclose(out.weight, got, rtol=1e-6) and np.allclose(out.probability, np.array(got) / one, rtol=1e-6)
+    chance = {r["doc_id"]: r["u"] for r in docs.select("doc_id", mixing.uniform(F.col("doc_id"), 3).alias("u")).collect()}
+    assert all(r.copies == int(r.probability) + (chance[r.doc_id] < r.probability - int(r.probability)) for r in out.itertuples())
+
+
+def test_topics_tell_word_use_apart(spark):
+    own = [[f"{t}{k}" for k in range(60)] for t in ("gear", "leaf", "coin")]
+    texts = [" ".join(random.Random(i).choice(own[i % 3]) for _ in range(40)) for i in range(300)]
+    topics = mixing.Topics([*texts, None, ""], 3)
+    named = topics.name(np.stack([mixing.Topics.counts(t) for t in texts]))
+    assert len({(i % 3, n) for i, n in enumerate(named)}) == 3 and len(set(named)) == 3
+    assert topics.name(mixing.Topics.counts(None)[None])[0] == "none"
+    long = mixing.described(spark.createDataFrame([(1, "leaf1 " * 300_000, "en", "s")], "doc_id long, text string, lang string, source string"), topics).first()
+    assert long["n_tokens"] == 300_000 and long["topic"] != "none"
 
 
 def test_every_source_has_its_marginal(spark):
@@ -321,7 +369,7 @@ def test_every_source_has_its_marginal(spark):
 
 
 def test_odd_cell_does_not_set_the_scale(spark):
-    rows = [(i, prose(150, i), "en", "s0") for i in range(600)] + [(9000, "a\nb\nc\nd\ne\nf", "fr", "s1")]
+    rows = [(i, prose(150, i), "en", "s0") for i in range(600)] + [(9000, prose(6, 1), "fr", "s1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     out = mixing.sample(spark, docs).toPandas().set_index("doc_id")
     assert out.kept[:600].all() and out.probability[9000] > 1 and out.copies[9000] >= 1
