@@ -348,7 +348,8 @@ def test_mixing_equals_plain_raking(spark):
 
 def test_topics_tell_word_use_apart(spark):
     own = [[f"{t}{k}" for k in range(60)] for t in ("gear", "leaf", "coin")]
-    texts = [" ".join(random.Random(i).choice(own[i % 3]) for _ in range(40)) for i in range(300)]
+    r = random.Random(6)
+    texts = [" ".join(r.choice(own[i % 3]) for _ in range(40)) for i in range(300)]
     topics = mixing.Topics([*texts, None, ""], 3)
     named = topics.name(np.stack([mixing.Topics.counts(t) for t in texts]))
     assert len({(i % 3, n) for i, n in enumerate(named)}) == 3 and len(set(named)) == 3
