@@ -371,10 +371,10 @@ def test_every_source_has_its_marginal(spark):
 
 def test_odd_cell_does_not_set_the_scale(spark):
     rows = [(i, prose(150, i), "en", "s0") for i in range(600)] + [(9000, prose(6, 1), "fr", "s1")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    out = mixing.sample(spark, docs).toPandas().set_index("doc_id")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("t", F.lit("x"))
+    out = mixing.sample(spark, docs, topic_col="t").toPandas().set_index("doc_id")
     assert out.kept[:600].all() and out.probability[9000] > 1 and out.copies[9000] >= 1
-    assert mixing.mixed(spark, docs).count() == out.copies.sum()
+    assert mixing.mixed(spark, docs, topic_col="t").count() == out.copies.sum()
     half = mixing.sample(spark, docs, size=0.5).toPandas()
     assert abs((half.n_tokens * half.probability).sum() / half.n_tokens.sum() - 0.5) < 1e-9
 
