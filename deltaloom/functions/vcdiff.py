@@ -314,7 +314,7 @@ def string_match(new: bytes, matches: list[tuple[int, int, int]], base_size: int
     def fill(a: int, b: int) -> None:
         """The stretch from a to b without the source."""
         literal, at = a, a
-        hits = a + np.flatnonzero(back[a:b] >= 0) if a < len(back) else np.zeros(0, dtype=np.int64)
+        hits = a + np.flatnonzero(back[a : max(a, b - MIN_COPY + 1)] >= 0)  # words that end within the stretch
         own_runs = [(a + s, n) for s, n in runs(new[a:b])]
         r = 0
         while at < b:
@@ -332,7 +332,7 @@ def string_match(new: bytes, matches: list[tuple[int, int, int]], base_size: int
             if hit >= b:
                 break
             size, place = best(hit, b)
-            if 0 < size <= level.lazy and hit + 1 < b:
+            if 0 < size <= level.lazy and hit + 1 + MIN_COPY <= b:
                 later, later_place = best(hit + 1, b)
                 if later > size + 1:
                     hit, size, place = hit + 1, later, later_place

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -10,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.config import SMALL, EngineConfig
-from deltaloom.functions import bytescan, codecs
+from deltaloom.functions import bytescan, codecs, formats, vcdiff
 from deltaloom.operators import reduce as ops
-from deltaloom.plans import reduction
+from deltaloom.plans import oracles, reduction
 from deltaloom.sources import blobs as sources
+from deltaloom.sources import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -205,12 +207,24 @@ def _chunk_rows(spark, sf_dir, **options) -> DataFrame:
     return ops.content_chunks(_docs(spark, sf_dir), replace(SMALL, **options)).select("blob_id", "idx", "ord", "offset", "size", "bits", F.md5("data").alias("digest"))
 
 
-for _name, _kind in (("cdc_chunks_docs", "normalized"), ("cdc_two_bytes", "normalized2"), ("cdc_plain", "plain"), ("cdc_plain_two_bytes", "plain2"), ("cdc_unified", "unified")):
-    QUERIES[_name] = lambda spark, sf_dir, kind=_kind: _chunk_rows(spark, sf_dir, chunker=kind)
+def _chunk_query(kind: str, config: EngineConfig):
+    def run(spark, sf_dir):
+        chunks = ops.content_chunks(_docs(spark, sf_dir), replace(config, chunker=kind))
+        return chunks.select("blob_id", "idx", "ord", "offset", "size", "bits", F.md5("data").alias("digest"))
+
+    return run
+
+
+for _name, _kind, _config in (
+    ("cdc_chunks_docs", "normalized", SMALL), ("cdc_two_bytes", "normalized2", SMALL), ("cdc_plain", "plain", SMALL), ("cdc_plain_two_bytes", "plain2", SMALL),
+    ("cdc_unified", "unified", SMALL), ("cdc_chunks_default", "normalized", EngineConfig()), ("cdc_unified_default", "unified", EngineConfig()),
+):
+    QUERIES[_name] = _chunk_query(_kind, _config)
     QUERIES[_name].__name__ = _name
+    ORACLE[_name] = oracles.chunks_sql(_kind, _config)
 
 
-@query()
+@query(oracles.small_sql(SMALL))
 def small_chunks(spark, sf_dir):
     rows = _chunk_rows(spark, sf_dir)
     return rows.groupBy((F.col("size") <= 1024).alias("small")).agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("bytes"))
@@ -220,9 +234,13 @@ def _sketched(spark, sf_dir, **options) -> reduction.Reduction:
     return reduction.reduce(_docs(spark, sf_dir), replace(SMALL, **options))
 
 
-@query()
+def _numbered(column: str, prefix: str, n: int) -> list:
+    return [F.get(column, F.lit(k)).alias(f"{prefix}{k}") for k in range(n)]
+
+
+@query(oracles.bitmap_sql(SMALL))
 def bitmap_sketches(spark, sf_dir):
-    return _sketched(spark, sf_dir).sketched.select("ord", "bits", "sfp", F.bit_count("bits").alias("ones"))
+    return _sketched(spark, sf_dir).sketched.select("ord", "bits", *_numbered("sfp", "sf", 3), F.bit_count("bits").alias("ones"))
 
 
 @query()
@@ -230,17 +248,22 @@ def odess_sketches(spark, sf_dir):
     return _sketched(spark, sf_dir, sketch="odess", features=12).sketched.select("ord", "features", "sfp")
 
 
-@query()
+@query(oracles.ntransform_sql(SMALL, 12))
 def ntransform_sketches(spark, sf_dir):
-    return _sketched(spark, sf_dir, sketch="ntransform", features=12).sketched.select("ord", "features", "sfp")
+    return _sketched(spark, sf_dir, sketch="ntransform", features=12).sketched.select("ord", *_numbered("features", "f", 12))
 
 
 @query()
+def finesse_sketches(spark, sf_dir):
+    return _sketched(spark, sf_dir, sketch="finesse", features=12).sketched.select("ord", "features", "sfp")
+
+
+@query(oracles.popcount_sql(SMALL))
 def popcount_histogram(spark, sf_dir):
     return _sketched(spark, sf_dir).sketched.groupBy(F.bit_count("bits").alias("ones")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(oracles.hits_sql())
 def mask_hits(spark, sf_dir):
     @F.pandas_udf("array<long>")
     def hits(s: pd.Series) -> pd.Series:
@@ -250,11 +273,18 @@ def mask_hits(spark, sf_dir):
     return rows.groupBy("mask").agg(F.sum("n").alias("n"))
 
 
-@query()
+@query(oracles.similar_sql(SMALL))
 def similar_chunks(spark, sf_dir):
     return _sketched(spark, sf_dir).candidates
 
 
+@query(oracles.fetch_sql(SMALL))
+def base_fetch_join(spark, sf_dir):
+    r = _sketched(spark, sf_dir)
+    rows = ops.base_bytes(r.sketched, r.candidates)
+    return rows.select("ord", "base_ord", "size", "base_size", F.md5("data").alias("digest"), F.md5("base_data").alias("base_digest"))
+
+
 @query()
 def cluster_base(spark, sf_dir):
     return _sketched(spark, sf_dir, index="cluster").candidates
@@ -265,11 +295,38 @@ def reduction_report(spark, sf_dir):
     return _sketched(spark, sf_dir).report()
 
 
+@query()
+def reduction_report_default(spark, sf_dir):
+    """At the default sizes, over pages."""
+    return reduction.reduce(_pages(spark, sf_dir), EngineConfig()).report()
+
+
 @query()
 def reduction_report_baseline(spark, sf_dir):
     return _sketched(spark, sf_dir, chunker="fixed", sketch="odess", features=12, delta_post_compress=False).report()
 
 
+@query("""
+WITH c AS (SELECT octet_length(encode(coalesce(text, '')))::BIGINT AS size, md5(coalesce(text, '')) AS fp, doc_id FROM documents),
+d AS (SELECT *, min(doc_id) OVER (PARTITION BY fp) AS first FROM c WHERE size > 0)
+SELECT count(*) AS total_chunks, sum(size)::BIGINT AS total_bytes, count_if(doc_id > first)::BIGINT AS dup_chunks,
+  sum(CASE WHEN doc_id > first THEN size ELSE 0 END)::BIGINT AS dup_bytes, count_if(size <= 4096)::BIGINT AS small_chunks,
+  sum(CASE WHEN doc_id > first THEN 0 ELSE size END)::BIGINT AS encoded_bytes, TRUE AS restores FROM d""")
+def report_of_whole_texts(spark, sf_dir):
+    """Texts as one chunk each: what the report counts, its classes' sum, and whether the store gives the texts back."""
+    config = replace(SMALL, chunker="fixed", normal_size=1 << 30)
+    docs = _docs(spark, sf_dir)
+    r = reduction.reduce(docs, config)
+    path = f"{shared.folder(spark)}/store-{uuid.uuid4().hex}"
+    reduction.store(r, path)
+    back = reduction.restore(spark, path, config).withColumnRenamed("content", "restored")
+    wrong = docs.where(F.octet_length("content") > 0).join(back, "blob_id", "left").agg(F.count_if(~F.col("content").eqNullSafe(F.col("restored"))).alias("wrong"))
+    encoded = F.col("delta_bytes") + F.col("lossless_bytes") + F.col("raw_bytes")
+    one = r.report().select("total_chunks", "total_bytes", "dup_chunks", "dup_bytes", "small_chunks", encoded.alias("encoded_bytes"))
+    both = one.unionByName(wrong, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in one.columns], (F.max("wrong") == 0).alias("restores"))
+
+
 @query()
 def dce_by_similarity(spark, sf_dir):
     return ops.dce_by_similarity(_sketched(spark, sf_dir).encoded)
@@ -279,3 +336,116 @@ def dce_by_similarity(spark, sf_dir):
 def codec_comparison(spark, sf_dir):
     r = _sketched(spark, sf_dir)
     return ops.codec_comparison(r.sketched, r.candidates, r.config)
+
+
+@query()
+def codec_ratio_distribution(spark, sf_dir):
+    r = _sketched(spark, sf_dir)
+    return ops.distribution(ops.codec_events(ops.codec_sizes(r.sketched, r.candidates, r.config)), "method", "block_reduction_ratio")
+
+
+@query("""
+WITH s AS (SELECT *, CAST(floor(l_extendedprice) AS BIGINT) AS size, CAST(floor(l_quantity * 800) AS BIGINT) AS stored, (l_orderkey * 7 + l_linenumber) % 65 AS sim FROM lineitem)
+SELECT sim::INTEGER AS sim, sum(size - stored)::BIGINT AS reduced, sum(stored)::BIGINT AS stored, 100 * sum(size - stored)::BIGINT / nullif(sum(stored)::BIGINT, 0)::DOUBLE AS dce
+FROM s WHERE l_returnflag <> 'N' GROUP BY sim""")
+def dce_of_sizes(spark, sf_dir):
+    """The efficiency by similarity over sizes from a table of numbers."""
+    rows = _read(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_returnflag") != "N", "delta").otherwise("raw").alias("kind"), ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 65).cast("int").alias("sim"),
+        F.floor("l_extendedprice").cast("long").alias("size"), F.floor(F.col("l_quantity") * 800).cast("long").alias("stored_size"),
+    )
+    return ops.dce_by_similarity(rows)
+
+
+@query(f"""{_KEYS}, k2 AS (SELECT sf_pos, count(DISTINCT sf_value) AS n FROM u GROUP BY sf_pos)
+SELECT ((SELECT count(DISTINCT ord) FROM u) * 12 + (SELECT sum(n) FROM k2) * 16)::BIGINT AS bytes""")
+def index_memory(spark, sf_dir):
+    keys = _table_keys(spark, sf_dir)
+    size = ops.index_size(keys).agg(F.sum("n_keys").alias("k"))
+    both = keys.agg(F.count_distinct("ord").alias("u")).unionByName(size, allowMissingColumns=True)
+    return both.agg(ops.index_memory(F.max("u"), F.max("k"), 2).alias("bytes"))
+
+
+@query(f"""{_DEDUP}, o AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS k, count(*) OVER () AS total FROM d WHERE size > 0)
+SELECT ord, fp FROM o WHERE k < total // 3""")
+def limit_fraction(spark, sf_dir):
+    """The first third of the stream."""
+    return ops.limited(_whole(spark, sf_dir).where("size > 0"), 1 / 3).select("ord", "fp")
+
+
+@query("""
+SELECT event_id, format('{:d}s {:d}ms {:d}us', m // 1000000, m // 1000 % 1000, m % 1000) AS took,
+  CASE WHEN m >= 1048576 THEN format('{:.2f} MB', m / 1048576.0) WHEN m >= 1024 THEN format('{:.2f} KB', m / 1024.0) ELSE format('{:d} B', m) END AS size,
+  strftime(ts, '%Y-%m-%d_%H:%M:%S') AS moment
+FROM (SELECT *, (event_id * 7919) % 5000000 AS m FROM events)""")
+def report_formats(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").withColumn("m", F.col("event_id") * 7919 % 5_000_000)
+    return rows.select("event_id", formats.duration(F.col("m")).alias("took"), formats.byte_size(F.col("m")).alias("size"), formats.moment(F.col("ts")).alias("moment"))
+
+
+@query("""
+SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name, regexp_extract(url, '([^/]*)$', 1) || '_all.csv' AS result FROM pages""")
+def file_names(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", formats.file_name(F.col("url")).alias("name"), formats.result_name(F.col("url"), F.lit("all")).alias("result"))
+
+
+@query("""
+WITH x AS (SELECT l_orderkey * 8 + l_linenumber AS ord, [l_partkey, l_suppkey, l_orderkey, l_linenumber::BIGINT, l_partkey + 1, l_suppkey + 1] AS f FROM lineitem)
+SELECT ord, f[1] + f[3] + f[5] AS even, f[2] + f[4] + f[6] AS odd, list_max(f) AS best FROM x""")
+def strided_groups(spark, sf_dir):
+    """Features in strided groups, as super-features take them."""
+    f = F.array("l_partkey", "l_suppkey", "l_orderkey", F.col("l_linenumber").cast("long"), F.col("l_partkey") + 1, F.col("l_suppkey") + 1)
+    rows = _read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), f.alias("f"))
+    total = lambda k: F.aggregate(F.filter("f", lambda x, i: i % 2 == k), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("ord", total(0).alias("even"), total(1).alias("odd"), F.array_max("f").alias("best"))
+
+
+@query("""
+SELECT doc_id, md5(coalesce(text, '')) AS md5, sha1(coalesce(text, '')) AS sha1, sha256(coalesce(text, '')) AS sha256 FROM documents""")
+def digests(spark, sf_dir):
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(data).alias("md5"), F.sha1(data).alias("sha1"), F.sha2(data, 256).alias("sha256"))
+
+
+@query("""
+WITH p AS (SELECT d.doc_id, hex(encode(coalesce(d.text, ''))) AS a, hex(encode(coalesce(o.text, ''))) AS b FROM documents d LEFT JOIN documents o ON o.doc_id = d.doc_id + 1),
+n AS (SELECT *, length(a) // 2 AS na, length(b) // 2 AS nb FROM p),
+k AS (SELECT doc_id, na, nb, least(na, nb) AS m, list_min(list_filter(range(1, least(na, nb) + 1), lambda i: substr(a, 2 * i - 1, 2) <> substr(b, 2 * i - 1, 2))) AS first,
+  list_min(list_filter(range(1, least(na, nb) + 1), lambda i: substr(a, 2 * (na - i) + 1, 2) <> substr(b, 2 * (nb - i) + 1, 2))) AS last FROM n)
+SELECT doc_id, coalesce(first - 1, m)::INTEGER AS prefix, coalesce(last - 1, m)::INTEGER AS suffix FROM k""")
+def common_ends(spark, sf_dir):
+    """The common prefix and suffix of every document and the one after it: the first step of a delta."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("a"))
+    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id", "left")
+
+    @F.pandas_udf("struct<prefix: int, suffix: int>")
+    def ends(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(codecs.common_prefix(x, y or b""), codecs.common_suffix(x, y or b"")) for x, y in zip(a, b)], columns=["prefix", "suffix"])
+
+    return pairs.select("doc_id", ends("a", "b").alias("e")).select("doc_id", "e.prefix", "e.suffix")
+
+
+@query("""
+WITH p AS (SELECT d.doc_id, octet_length(encode(coalesce(d.text, '')))::BIGINT AS n FROM documents d)
+SELECT doc_id, n AS new_bytes, TRUE AS merged, TRUE AS streamed, TRUE AS recoded, TRUE AS many_references FROM p""")
+def delta_tools_roundtrip(spark, sf_dir):
+    """Every document against the two after it: deltas merged without the base, fed in pieces, written anew, several references."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("a"))
+    rows = docs
+    for k, name in ((1, "b"), (2, "c")):
+        rows = rows.join(docs.select((F.col("doc_id") - k).alias("doc_id"), F.col("a").alias(name)), "doc_id", "left")
+
+    @F.pandas_udf("struct<merged: boolean, streamed: boolean, recoded: boolean, many_references: boolean>")
+    def checked(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y, z in zip(a, (v or b"" for v in b), (v or b"" for v in c)):
+            delta = codecs.vcdiff_encode(x, y)
+            merged = codecs.vcdiff_decode(codecs.merge_deltas(codecs.vcdiff_encode(y, z), delta, len(z)), z) == x
+            coder = codecs.vcdiff_stream(y, window=700)
+            stream = b"".join(coder.feed(x[i : i + 500]) for i in range(0, len(x), 500)) + coder.finish()
+            packed = vcdiff.recode(delta, secondary=True, app=b"doc")
+            refs = codecs.zdelta_decode(codecs.zdelta_encode(x, y, z), y, z) == x
+            out.append((merged, codecs.vcdiff_decode(stream, y) == x, codecs.vcdiff_decode(packed, y) == x and vcdiff.recode(packed, False, b"") == delta, refs))
+        return pd.DataFrame(out, columns=["merged", "streamed", "recoded", "many_references"])
+
+    return rows.select("doc_id", F.octet_length("a").cast("long").alias("new_bytes"), checked("a", "b", "c").alias("r")).select("doc_id", "new_bytes", "r.*")

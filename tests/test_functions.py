@@ -298,6 +298,17 @@ def test_address_cache_over_many_rounds():
     assert vcdiff.Reader(vcdiff.number(1 << 40)).number() == 1 << 40
 
 
+def test_codecs_on_prose():
+    r = random.Random(5)
+    words = ["".join(r.choice("aeinorst") for _ in range(r.randint(1, 7))) for _ in range(120)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 400))).encode() for _ in range(25)]
+    for new, base in zip(texts, texts[1:]):
+        for name, encode in codecs.ENCODERS.items():
+            assert codecs.DECODERS[name](encode(new, base), base) == new
+        for level in vcdiff.LEVELS:
+            assert codecs.vcdiff_decode(codecs.vcdiff_encode(new, base, level=level, window=300), base) == new
+
+
 def test_target_matching_runs_and_identical_windows():
     def ops(data, base=b"", **options):
         return vcdiff.instructions(codecs.vcdiff_encode(data, base, **options))

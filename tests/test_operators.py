@@ -1,12 +1,15 @@
+import os
 import random
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from deltaloom.config import SMALL
-from deltaloom.functions import registry
+from deltaloom.functions import codecs, formats, registry
 from deltaloom.operators import reduce as ops
 from deltaloom.plans import reduction
+from deltaloom.sources import blobs as sources
 from deltaloom.streaming.incremental import IncrementalIndex
 
 
@@ -34,8 +37,35 @@ def test_restore_says_what_it_cannot_decode(spark, tmp_path):
     path = str(tmp_path / "store")
     spark.createDataFrame([(1, 9, 3, "delta", b"xyz"), (2, None, 3, "raw", b"abc")], "ord long, base_ord long, size int, kind string, stored binary").write.parquet(f"{path}/chunks")
     spark.createDataFrame([(0, 0, 1, 3), (0, 1, 2, 3)], "blob_id long, idx int, first_ord long, size int").write.parquet(f"{path}/recipes")
+    spark.createDataFrame([("gdelta", "zstd", True)], "delta string, lossless string, delta_post_compress boolean").write.parquet(f"{path}/header")
     with pytest.raises(ValueError, match="1 chunks"):
         reduction.restore(spark, path, SMALL)
+    with pytest.raises(ValueError, match="written with"):
+        reduction.restore(spark, path, replace(SMALL, delta="edelta"))
+
+
+def test_restore_needs_every_chunk(spark, tmp_path):
+    path = str(tmp_path / "store")
+    spark.createDataFrame([(2, None, 3, "raw", b"abc")], "ord long, base_ord long, size int, kind string, stored binary").write.parquet(f"{path}/chunks")
+    spark.createDataFrame([(0, 0, 2, 3), (0, 1, 7, 3)], "blob_id long, idx int, first_ord long, size int").write.parquet(f"{path}/recipes")
+    spark.createDataFrame([("gdelta", "zstd", True)], "delta string, lossless string, delta_post_compress boolean").write.parquet(f"{path}/header")
+    with pytest.raises(Exception, match="has not"):
+        reduction.restore(spark, path, SMALL).collect()
+
+
+def test_restore_of_a_long_delta_chain(spark, tmp_path):
+    """Each version is a delta of the one before."""
+    r, versions = random.Random(8), []
+    content = bytearray(r.randbytes(400))
+    for k in range(8):
+        content[40 * k : 40 * k + 8] = r.randbytes(8)
+        versions.append((k, bytes(content)))
+    config = replace(SMALL, chunker="fixed", normal_size=1024)
+    done = reduction.reduce(spark.createDataFrame(versions, "blob_id long, content binary"), config)
+    reduction.store(done, str(tmp_path / "store"))
+    assert done.encoded.where("kind = 'delta'").count() >= 5
+    got = {x["blob_id"]: bytes(x["content"]) for x in reduction.restore(spark, str(tmp_path / "store"), config).collect()}
+    assert got == dict(versions)
 
 
 def test_result_does_not_depend_on_partitions(spark):
@@ -82,6 +112,88 @@ def test_cluster_query_looks_everywhere(spark):
     assert any(x["base_ord"] >> 20 != x["ord"] >> 20 for x in found)
 
 
+def test_hot_keys_are_cut_into_ranges(spark):
+    r = random.Random(6)
+    rows = [(o, [7, r.randrange(40), r.randrange(3)]) for o in r.sample(range(10**6), 800)]
+    df = spark.createDataFrame(rows, "ord long, sfp array<long>").repartition(3)
+    keys = ops.index_keys(df)
+    want = simulate(sorted(rows), False)
+    for size in (100, 37, 10**6):
+        assert {x["ord"]: (x["base_ord"], x["sf_pos"]) for x in ops.latest_base(keys, (), size).collect()} == want
+    pairs = [sorted(tuple(x) for x in ops.similar_pairs(keys, 2, n).collect()) for n in (50, 10**6)]
+    assert pairs[0] == pairs[1] and pairs[0]
+    assert ops.latest_base(keys.limit(0)).count() == 0
+
+
+def test_scope_keeps_nulls_and_other_columns(spark):
+    data = random.Random(1).randbytes(3000)
+    rows = [(0, data, "a"), (1, data, "a"), (2, data, None), (3, data, None), (4, data, "b")]
+    df = spark.createDataFrame(rows, "blob_id long, content binary, tenant string")
+    done = reduction.reduce(df, replace(SMALL, scope=("tenant",)))
+    dup = {x["blob_id"] for x in done.deduped.where("is_dup").select("blob_id").distinct().collect()}
+    assert dup == {1, 3} and done.deduped.select("blob_id").distinct().count() == 5
+    assert reduction.reduce(df, SMALL).report().first()["dup_bytes"] == 4 * 3000
+
+
+def test_limit_and_order_bounds(spark):
+    ords = [r * 3 % 1001 for r in range(700)]
+    df = spark.createDataFrame([(o,) for o in ords], "ord long")
+    assert [ops.kth(df, k, 4) for k in (0, 1, 350, 699)] == [sorted(ords)[k] for k in (0, 1, 350, 699)] and ops.kth(df, 700) is None
+    assert sorted(r["ord"] for r in ops.limited(df, 1 / 3).collect()) == sorted(ords)[:233]
+    assert ops.limited(df, 1.0).count() == 700 and ops.limited(df, 0.0).count() == 0
+    config = replace(SMALL, chunker="fixed", normal_size=500, limit_fraction=0.5)
+    assert reduction.reduce(blobs(spark), config).report().first()["total_chunks"] == 74 // 2
+    too_far = spark.createDataFrame([(1 << 50, b"x" * 2000)], "blob_id long, content binary")
+    for cut in (lambda: ops.content_chunks(too_far, SMALL).collect(), lambda: ops.fixed_chunks(too_far).collect()):
+        with pytest.raises(Exception, match="beyond the stream order"):
+            cut()
+
+
+def test_files_and_ranges(spark, tmp_path):
+    import gzip
+
+    r = random.Random(2)
+    data = {f"f{k:02}": r.randbytes(100 + 900 * k) for k in range(7)} 
+    (tmp_path / "empty").write_bytes(b"")  # Spark lists no empty files
+    for name, d in data.items():
+        (tmp_path / name).write_bytes(d if name != "f03" else gzip.compress(d))
+    found = sources.from_files(spark, str(tmp_path), unpack=True).collect()
+    assert {os.path.basename(x["path"]): bytes(x["content"]) for x in found} == data
+    assert [os.path.basename(x["path"]) for x in sorted(found, key=lambda x: x["blob_id"])] == sorted(data)
+    assert {os.path.basename(x["path"]): x["packed_as"] for x in found}["f03"] == "gzip" and sorted(x["blob_id"] for x in found) == list(range(7))
+    pieces = sorted(sources.from_ranges(spark, str(tmp_path), 1000).collect(), key=lambda x: x["blob_id"])
+    joined = {}
+    for x in pieces:
+        joined[os.path.basename(x["path"])] = joined.get(os.path.basename(x["path"]), b"") + bytes(x["content"])
+    assert joined == {k: (tmp_path / k).read_bytes() for k in data} and [x["blob_id"] for x in pieces] == list(range(len(pieces)))
+
+
+def test_measurements(spark, tmp_path):
+    done = reduction.reduce(blobs(spark), SMALL)
+    sizes = ops.codec_sizes(done.sketched, done.candidates, done.config)
+    events = ops.codec_events(sizes)
+    reduction.write_events(events, str(tmp_path / "events"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "events"))
+    assert back.columns == ["method", "block_reduction_ratio", "time(us)"] and back.count() == events.count() > 0
+    assert {x["method"] for x in ops.event_averages(events).collect()} == {"lossless", *ops.CODECS}
+    base = done.candidates.count()
+    by = {x["codec"]: x for x in ops.codec_comparison(done.sketched, done.candidates, done.config).groupBy("codec").sum("chunks").collect()}
+    assert {x["sum(chunks)"] for x in by.values()} == {done.sketched.count()} and base > 0
+    one = next(x for x in sizes.collect() if x["vcdiff"])
+    row = next(x for x in ops.base_bytes(done.sketched, done.candidates).collect() if x["ord"] == one["ord"])
+    assert one["vcdiff"]["size"] == len(codecs.vcdiff_encode(bytes(row["data"]), bytes(row["base_data"])))
+    shares = ops.distribution(spark.range(1, 101).withColumn("g", F.lit("x")), "g", "id", 4).collect()
+    assert [(x["share"], x["value"]) for x in shares] == [(0.25, 25), (0.5, 50), (0.75, 75), (1.0, 100)]
+    rows = reduction.grid(spark.createDataFrame([(0, b"a" * 900, "x"), (1, b"a" * 900, "y")], "blob_id long, content binary, d string"), {"one": SMALL, "two": replace(SMALL, sketch="finesse", features=12, delta="edelta")}, "d").collect()
+    assert sorted((x["config"], x["dataset"], x["dup_bytes"]) for x in rows) == [(c, d, 0) for c in ("one", "two") for d in ("x", "y")]
+
+
+def test_formats(spark):
+    df = spark.createDataFrame([(1_002_003, 1536.0, "a/b/c.tar", "2024-01-31 23:59:59")], "m long, n double, p string, t string")
+    got = df.select(formats.duration(F.col("m")), formats.byte_size(F.col("n")), formats.file_name(F.col("p")), formats.moment(F.col("t").cast("timestamp")), formats.result_name(F.col("p"), F.lit("x")), formats.byte_size(F.lit(12))).first()
+    assert tuple(got) == ("1s 2ms 3us", "1.50 KB", "c.tar", "2024-01-31_23:59:59", "c.tar_x.csv", "12 B")
+
+
 def test_choose_ties(spark):
     rows = [(10, 5, 4), (10, 5, 5), (10, 10, None), (10, 12, 11), (10, 9, None)]
     df = spark.createDataFrame(rows, "a int, b int, c int")
