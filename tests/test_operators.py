@@ -10,7 +10,7 @@ from deltaloom.functions import codecs, formats, registry
 from deltaloom.operators import reduce as ops
 from deltaloom.plans import reduction
 from deltaloom.sources import blobs as sources
-from deltaloom.streaming.incremental import IncrementalIndex
+from deltaloom.streaming.incremental import IncrementalIndex, base_of, candidate_stream, cluster_stream, dedup_stream, first_seen_stream, segments
 
 
 def blobs(spark, repeat=1):
@@ -215,6 +215,79 @@ def test_incremental_equals_batch(spark, tmp_path):
     assert got == {o: b for o, (b, _) in want.items()}
 
 
+def test_segments_add_up():
+    for n in range(70):
+        found = segments(n)
+        assert [a for a, _ in found] == [0, *[b for _, b in found]][: len(found)] and sum(b - a for a, b in found) == n and len(found) == n.bit_count()
+
+
+def test_streams_equal_batches(spark, tmp_path):
+    """Files one by one through the table index, the keyed states and the cluster state; repeats and a late row among them."""
+    r = random.Random(9)
+    rows = [(0, o, str(r.randrange(60)), [r.randrange(30) for _ in range(2)], f"2024-01-01 00:00:{o // 4:02}") for o in range(200)]
+    late = rows[150]
+    rows = [*rows[:150], *rows[151:180], late, *rows[180:]]
+    schema = "tenant long, ord long, fp string, sfp array<long>, t string"
+    source = str(tmp_path / "in")
+    for b in range(5):
+        spark.createDataFrame(rows[b * 40 : b * 40 + 40], schema).coalesce(1).write.mode("append").json(source)
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source).withColumn("t", F.to_timestamp("t"))
+    index = IncrementalIndex(spark, str(tmp_path / "index"))
+    index.start(stream(), str(tmp_path / "c0")).awaitTermination()
+    assert sum(len(spark.read.parquet(f"{tmp_path}/index/candidates/{b}").collect()) for b in range(5)) > 20
+
+    def run(df, name):
+        out = str(tmp_path / name)
+        df.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / (name + "-c"))).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(df.schema).parquet(out)
+
+    first = run(first_seen_stream(stream(), "t", "1 hour"), "first").collect()
+    assert len(first) == 200 and sum(not x["is_dup"] for x in first) == len({x[2] for x in rows})
+    assert {x["fp"]: x["first_ord"] for x in first if not x["is_dup"]} == {x["fp"]: x["first_ord"] for x in first}
+    once = run(dedup_stream(stream().select("ord", "fp", "t"), "t", "1 hour"), "once").collect()
+    assert len(once) == len({x[2] for x in rows})
+    found = base_of(run(candidate_stream(ops.index_keys(stream().withColumn("at", F.col("t")), ("t",)), "t", "1 hour"), "found")).collect()
+    clusters = run(cluster_stream(stream(), "tenant"), "clusters").collect()
+    assert {x["ord"] for x in found} and all(x["base_ord"] != x["ord"] for x in found)
+    assert {x["ord"] for x in clusters} <= {x[1] for x in rows} and len(clusters) > 100
+
+
+def test_eviction_forgets_old_keys(spark, tmp_path):
+    schema = "ord long, fp string, sfp array<long>"
+    index = IncrementalIndex(spark, str(tmp_path))
+    for b in range(3):
+        index.process(spark.createDataFrame([(10 * b + k, f"{b}{k}", [k]) for k in range(3)], schema), b)
+    index.evict(3, 21)
+    index.process(spark.createDataFrame([(30 + k, f"3{k}", [k]) for k in range(3)], schema), 3)
+    assert {x["ord"]: x["base_ord"] for x in spark.read.parquet(f"{tmp_path}/candidates/3").collect()} == {31: 21, 32: 22}
+
+
+def test_sql_table_functions(spark):
+    assert {"cdc_chunk_rows", "delta_instructions", "gdelta_hash_encode", "vcdiff_merge"} <= set(registry.register(spark, SMALL))
+    rows = spark.sql("SELECT * FROM cdc_chunk_rows(cast(repeat('abc', 9000) AS binary))").collect()
+    assert sum(r["size"] for r in rows) == 27_000 and rows[0]["offset"] == 0
+    ops_ = spark.sql("SELECT * FROM delta_instructions(vcdiff_encode(cast(repeat('q', 50) AS binary), X''), 'vcdiff')").collect()
+    assert [(r["op"], r["length"]) for r in ops_] == [("run", 50)]
+    one = spark.sql("SELECT gdelta_decode(gdelta_hash_encode(X'010203', X'01'), X'01') AS a, zdelta_decode2(zdelta_encode2(X'0102', X'01', X'02'), X'01', X'02') AS z").first()
+    assert bytes(one["a"]) == b"\x01\x02\x03" and bytes(one["z"]) == b"\x01\x02"
+
+
+def test_entry_without_the_llm_folders(tmp_path):
+    """The entry of a copy without them, and of one whose folder is an empty leftover."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "deltaloom"), tmp_path / "deltaloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and set(e.oracle_sql()) <= set(q) and not any(k.startswith('op') for k in q)"
+    for leftover in (False, True):
+        if leftover:
+            (tmp_path / "deltaloom" / "llm").mkdir()
+        subprocess.run([sys.executable, "-W", "error", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
+
+
 def test_sql_functions(spark):
     assert "vcdiff_encode" in registry.register(spark, SMALL)
     one = spark.sql("SELECT gdelta_decode(gdelta_encode(X'0102', X'01'), X'01') AS a, size(cdc_chunks(cast(repeat('ab', 3000) AS binary))) AS n").first()
