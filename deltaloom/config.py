@@ -10,15 +10,15 @@ class EngineConfig:
     normal_size: int = 8192
     max_size: int = 32768
     plain_min_size: int = 2048
-    sketch: str = "bitmap"  # bitmap, odess, ntransform
+    sketch: str = "bitmap"  # bitmap, odess, ntransform, finesse
     features: int = 3
     super_features: int = 3
     index: str = "latest"  # latest, cluster
-    delta: str = "gdelta"  # gdelta, gdelta_sketch, edelta, vcdiff, zdelta
+    delta: str = "gdelta"  # gdelta, gdelta_left, gdelta_sketch, edelta, vcdiff, zdelta
     lossless: str = "zstd"  # zstd, lz4
     level: int = 1
     delta_post_compress: bool = True
-    limit_fraction: float = 1.0
+    limit_fraction: float = 1.0  # the first part of the stream that is worked on
     scope: tuple[str, ...] = ()  # columns within which duplicates and bases are looked for; () is everywhere
 
 
