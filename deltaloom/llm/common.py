@@ -52,6 +52,25 @@ def worker_cache(name: str) -> dict:
     return _caches.setdefault(name, {})
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can: a worker shares its executor's bound with others."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def share_of(column):
+    """A number in [0, 1) from the hash of a value: rows below a share of it are a sample, drawn where they stand. (An order with a
+    limit would send the limit's rows of every partition to one task.)"""
+    return F.shiftrightunsigned(F.xxhash64(column), 11) / F.lit(float(1 << 53))
+
+
 def lower_ascii(column):
     """Lower-cases A-Z and nothing else."""
     return F.translate(column, UPPER, LOWER)

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import connected_components, materialise, star_labels
+from deltaloom.llm.common import connected_components, materialise, share_of, star_labels
 
 COSINE = 0.95
-#: Vectors of the sample that centroids, codebooks and the reach are fitted on: at least so many, and PER_LIST for each list.
+#: Vectors of the sample that centroids, codebooks and the reach are fitted on: about so many, or PER_LIST for each list.
 TRAIN_ROWS, PER_LIST, SUBSPACES, CODES = 16_384, 4, 8, 256
 #: Lists are about the square root of the vectors, up to what a sample of this many can support.
 MOST_TRAIN = 1 << 18
@@ -175,8 +175,8 @@ def _group_links(quantiser: Quantiser | None, home: int, cosine: float, base: tu
 def _dimension(spark: SparkSession, nodes: DataFrame, count: int, cosine: float) -> DataFrame:
     """(node, n, u, v): copies linked by node (n, else null) and edges, of distinct vectors of one length."""
     lists = int(min(MOST_TRAIN // PER_LIST, max(1, round(np.sqrt(count)))))
-    drawn = nodes.select("vector").orderBy(F.xxhash64("node"), "node").limit(max(TRAIN_ROWS, PER_LIST * lists))
-    quantiser = Quantiser(unit(_matrix(drawn.toArrow()["vector"])), lists, cosine)
+    drawn = nodes.select("node", "vector").where(share_of(F.col("node")) < max(TRAIN_ROWS, PER_LIST * lists) / count)
+    quantiser = Quantiser(unit(_matrix(drawn.toArrow().sort_by("node")["vector"])), lists, cosine)
     step = max(1, min(512, (1 << 22) // lists))
 
     def index(batches):
