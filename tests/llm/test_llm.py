@@ -562,6 +562,48 @@ def test_pipeline_stages(spark):
         docs, seen = out, out.count()
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage on odd rows, by hand: language (letters), exact similarity, edit distance, the draw, whole-text ids."""
+    from tokenizers import Tokenizer
+
+    item = prose(30, 77)
+    near = prose(200, 78).split()
+    rows = [*ODD, (30, "x " + item.upper() + " y"), (31, " ".join(near)), (32, " ".join([*near[:100], "z", *near[101:]])), (33, prose(30, 79)), (33, prose(30, 80)), (34, prose(9000, 81))]
+    docs = documents(spark, rows).withColumns({"_row": F.lit(1), "topic": F.lit("t"), "n": F.lit(None).cast("int")})
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    texts = lambda df: sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in df.collect())
+    stage = dict(corpus_pipeline.STAGES)
+    one = stage["language_id"](spark, docs, str(tmp_path)).checkpoint()
+    want = sorted((i if i is not None else -1, t) for i, t in rows if t and any(c.isalpha() for c in t))
+    assert one.dtypes == docs.dtypes and texts(one) == want
+    two = stage["simhash_dedup"](spark, one, str(tmp_path)).checkpoint()
+    sets = [(i, t, set(simhash.shingle_set(t).tolist())) for i, t in want]
+    named = [k for k, (i, _, _) in enumerate(sets) if i >= 0]
+    links = [(a, b) for a in named for b in named if a < b and len(sets[a][2] & sets[b][2]) >= 0.8 * len(sets[a][2] | sets[b][2])]
+    root = components(links, range(len(sets)))
+    want = sorted([sets[k][:2] for k in range(len(sets)) if sets[k][0] < 0] + [min(sets[k][:2] for k in named if root[k] == r) for r in {root[k] for k in named}])
+    assert texts(two) == want and len(want) < len(sets) - 2
+    three = stage["decontaminate"](spark, two, str(tmp_path)).checkpoint()
+    want = [x for x in want if item not in x[1].lower()]
+    assert texts(three) == want and three.dtypes == docs.dtypes
+    four = stage["mix"](spark, three, str(tmp_path)).checkpoint()
+    drawn = mixing.sample(spark, three).groupBy("doc_id", "n_tokens").agg(F.sum("copies").alias("c")).collect()
+    got = four.groupBy("doc_id", F.size(F.split("text", r"\s+")).cast("long").alias("n")).count().collect()
+    assert sum(r["count"] for r in got) == sum(r["c"] for r in drawn) == four.count() and set(texts(four)) <= set(want) and four.dtypes == docs.dtypes
+    last = stage["token_ids"](spark, four, str(tmp_path))
+    plain, start, ids = Tokenizer.from_file(BPE), 0, []
+    for i, t in texts(four):
+        own = plain.encode(t, add_special_tokens=False).ids + [0]
+        ids.append((i, start, len(own), crc32(np.array(own, "<u4").tobytes())))
+        start += len(own)
+    key = lambda r: (r["doc_id"] if r["doc_id"] is not None else -1, r["start"], r["n_tokens"], r["ids_crc32"])
+    assert sorted(map(key, last.collect())) == sorted(ids)
+    assert sorted(map(key, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(ids)
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
 def test_oracles_match(spark):
     sf_dir = "/root/testdata/sf0.001"
     duck = duckdb.connect()
