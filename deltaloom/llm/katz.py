@@ -12,7 +12,7 @@ trigram was seen are settled there; the others are evaluated against the stored
 discounts and the unigram counts that a bucket asks for are known. Frequent words v (found in a bounded sample; a choice of
 placement only) are spread over the buckets by u, and their pairs are counted where the counts of w are.
 
-Tables in the shared folder, partitioned by kind: docs, sums, model, words, asks, pairs, stats; answers by bucket; rest.
+Tables in the shared folder, partitioned by kind: docs, sums, model, stats; answers, stats, hot; answers by bucket; rest.
 """
 
 from __future__ import annotations
@@ -28,14 +28,16 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import file_system, fresh_path
+from deltaloom.llm.common import file_system, fresh_path, trim
 
 #: Bytes of text in a chunk and in a bucket, about; a longer text is a chunk of its own. What a task holds grows with
 #: them, and packets (chunks x buckets, empty ones aside) shrink: larger executors should have larger ones.
-CHUNK_BYTES, BUCKET_BYTES = 20 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 10 << 20, 12 << 20
 K, SMOOTH, FOLDS = 5, 0.1, 10
-#: Words spread over all buckets, and words that packets name by number, at most; texts of the sample that finds them.
-HOT, COMMON, SAMPLE = 1000, 30_000, 1500
+#: Words spread over all buckets, and words that packets name by number, at most; texts of the sample that finds them, about.
+HOT, COMMON, SAMPLE = 1000, 200_000, 6000
+#: Sums of logarithms are kept in whole steps of this size, so that they don't depend on an order and pack well.
+STEP = 2.0**-30
 END, START = 0, 1
 _TABLE = "kind string, part long, payload binary"
 
@@ -65,7 +67,7 @@ def _pack(**arrays: np.ndarray) -> bytes:
         if a.dtype.kind in "iu" and a.dtype != np.uint64:
             a = a.astype(np.min_scalar_type(int(a.max(initial=0))))
         slim[k] = (a.dtype.str, a.shape, np.ascontiguousarray(a.reshape(-1).view(np.uint8).reshape(-1, a.dtype.itemsize).T))
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(slim, protocol=5))
+    return zstandard.ZstdCompressor(level=4).compress(pickle.dumps(slim, protocol=5))
 
 
 def _unpack(raw: bytes) -> dict[str, np.ndarray]:
@@ -126,6 +128,15 @@ class Plan:
         self.buckets, self.hot, self.common = buckets, hot, common
 
 
+def _numbered(high: np.ndarray, n: int, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct high * n + low in order, and the number of each row's."""
+    codes = high.astype(np.int64)
+    codes *= n
+    codes += low
+    found, number = np.unique(codes, return_inverse=True)
+    return found, number.astype(np.int32)
+
+
 def pack_chunk(chunk: int, ids: list[int | None], texts: list[str | None], plan: Plan):
     """The rows of a chunk: kind docs (its documents and their frequent words) and kind grams by bucket."""
     number: dict[bytes, int] = defaultdict()
@@ -135,25 +146,31 @@ def pack_chunk(chunk: int, ids: list[int | None], texts: list[str | None], plan:
         words = tokens(text)
         sizes[d] = len(words) + 1
         found.append(np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words)) + np.int32(2))
-    keys = np.array([END, START, *map(word_key, number)], dtype=np.uint64)
+    del texts
+    keys = np.empty(len(number) + 2, dtype=np.uint64)
+    keys[:2] = END, START
+    keys[2:] = np.fromiter(map(word_key, number), dtype=np.uint64, count=len(number))
     n = len(keys)
-    del number
+    number.clear()
     end, start = np.zeros(1, dtype=np.int32), np.ones(2, dtype=np.int32)
-    w = np.concatenate([x for f in found for x in (f, end)]).astype(np.int64)
-    v = np.concatenate([x for f in found for x in (start[:1], f)]).astype(np.int64)
-    u = np.concatenate([x for f in found for x in (start[: len(f) + 1], f[:-1])]).astype(np.int64)
+    w = np.concatenate([x for f in found for x in (f, end)])
+    v = np.concatenate([x for f in found for x in (start[:1], f)])
+    u = np.concatenate([x for f in found for x in (start[: len(f) + 1], f[:-1])])
     del found
-    doc = np.repeat(np.arange(len(ids)), sizes)
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
     # contexts (v, u), then trigrams (context, w), then their documents
-    pairs, pair = np.unique(v * n + u, return_inverse=True)
+    pairs, pair = _numbered(v, n, u)
     at, is_hot = _place(plan.hot, keys)
     hot_rows = is_hot[v] & (keys[v] != START)
-    own, per = np.unique(doc[hot_rows] * len(plan.hot) + at[v[hot_rows]], return_counts=True)
+    own, per = np.unique(doc[hot_rows].astype(np.int64) * len(plan.hot) + at[v[hot_rows]], return_counts=True)
     del u, v
-    grams, gram = np.unique(pair * n + w, return_inverse=True)
+    grams, gram = _numbered(pair, n, w)
     del pair, w
-    cells, counts = np.unique(gram * len(ids) + doc, return_counts=True)
+    cells = gram.astype(np.int64)
+    cells *= len(ids)
+    cells += doc
     del gram, doc
+    cells, counts = np.unique(cells, return_counts=True)
     held = np.packbits(np.array([held_out(i) for i in ids], dtype=bool))
     yield "docs", chunk, _pack(
         doc_id=np.array([i or 0 for i in ids], dtype=np.int64).view(np.uint64), null=np.packbits([i is None for i in ids]), held=held,
@@ -207,8 +224,7 @@ def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 
 def count_bucket(bucket: int, payloads: list[bytes], plan: Plan):
-    """Counts a bucket's trigrams. Rows: model (the counted trigrams and the tokens still open), sums by chunk, words, asks and pairs
-    for the parts that have the counts of w, stats."""
+    """Counts a bucket's trigrams. Rows: model (the counted trigrams and the tokens still open), sums by chunk, stats."""
     packets = sorted((_unpack(p) for p in payloads), key=lambda p: int(p["chunk"][0]))
     payloads.clear()
     held = [np.unpackbits(p["held"])[: int(p["n"][0])].astype(bool) for p in packets]
@@ -224,10 +240,11 @@ def count_bucket(bucket: int, payloads: list[bytes], plan: Plan):
     # contexts (v, u) and trigrams of all packets, numbered in their order
     pv = [np.repeat(own(p, r, "v"), p["v_run"].astype(np.int64)) for p, r in zip(packets, rare)]
     pu = [own(p, r, "u") for p, r in zip(packets, rare)]
-    contexts, context = np.unique(np.concatenate([a * n + b for a, b in zip(pv, pu)]), return_inverse=True)
-    context = np.repeat(context, np.concatenate([p["u_run"] for p in packets]).astype(np.int64))
-    grams, gram = np.unique(context * n + np.concatenate([own(p, r, "w") for p, r in zip(packets, rare)]), return_inverse=True)
-    del context, pv, pu, rare
+    contexts, context = _numbered(np.concatenate(pv), n, np.concatenate(pu))
+    del pv, pu
+    context = np.repeat(context, np.concatenate([p.pop("u_run") for p in packets]).astype(np.int64))
+    grams, gram = _numbered(context, n, np.concatenate([own(p, r, "w") for p, r in zip(packets, rare)]))
+    del context, rare
     c = np.zeros(len(grams), dtype=np.int64)
     spans = np.cumsum([0, *(len(p["w"]) for p in packets)])
     cells = []
@@ -252,17 +269,6 @@ def count_bucket(bucket: int, payloads: list[bytes], plan: Plan):
     yield "stats", 0, _pack(
         n=np.array([c_v.sum()]), v=np.array([(c_v[~v_hot] > 0).sum()]), r3=seen(c), r2=seen(c_pair[cold_pair]), hot_word=hot_at[v_hot], hot_count=c_v[v_hot],
     )
-    yield "words", bucket, _pack_words(keys[v_words[~v_hot]], c_v[~v_hot])
-    # what the bucket asks: counts of the words w, and of the pairs of frequent words
-    w_words = np.unique(w)
-    _, w_hot = _place(plan.hot, keys[w_words])
-    asked = keys[w_words[~w_hot]]
-    to = _bucket(asked, np.zeros_like(asked), plan.buckets)
-    for b in np.unique(to).tolist():
-        yield "asks", b, _pack(src=np.array([bucket]), words=_steps(np.sort(asked[to == b])))
-    hv, hw, hc = hot_at[(pairs // n)[~cold_pair]], keys[(pairs % n)[~cold_pair]], c_pair[~cold_pair]
-    for b, mine in _dealt(hv, hw, plan):
-        yield "pairs", b, _pack(src=np.array([bucket]), v=hv[mine], w=hw[mine], count=hc[mine])
     # tokens whose trigram was seen are settled but for the discounts; the others stay open
     with np.errstate(divide="ignore"):
         base, log_total, log_c = np.log10(c_v + SMOOTH), np.log10(np.maximum(total, 1)), np.log10(np.maximum(c, 1))
@@ -282,7 +288,7 @@ def count_bucket(bucket: int, payloads: list[bytes], plan: Plan):
         )
         low = np.stack([_sums(local, np.where(cg == r, count, 0), len(docs)) for r in range(1, K + 1)], axis=1)
         yield "sums", int(p["chunk"][0]), _pack(
-            doc=docs, real=real, known=_sums(local, np.where(is_word[x] & (c_v[x] > 0), count, 0), len(docs)).astype(np.int64), low=low.astype(np.int64)
+            doc=docs, real=_steps_of(real), known=_sums(local, np.where(is_word[x] & (c_v[x] > 0), count, 0), len(docs)).astype(np.int64), low=low.astype(np.int64)
         )
         if not known.all():
             kept.append((np.full((~known).sum(), int(p["chunk"][0])), doc[~known], count[~known], g[~known]))
@@ -293,6 +299,33 @@ def count_bucket(bucket: int, payloads: list[bytes], plan: Plan):
     )
 
 
+def _steps_of(x: np.ndarray) -> np.ndarray:
+    """Real numbers as whole steps, without a sign of their own."""
+    whole = np.round(x / STEP).astype(np.int64)
+    return whole << 1 ^ whole >> 63
+
+
+def _reals_of(steps: np.ndarray) -> np.ndarray:
+    steps = steps.astype(np.int64)
+    return (steps >> 1 ^ -(steps & 1)) * STEP
+
+
+def ask(bucket: int, payload: bytes, plan: Plan):
+    """What a bucket of the stored table tells and asks the parts that have the counts of w: its own counts of words (words), the
+    words whose counts it needs (asks), its counts of the pairs of frequent words (pairs)."""
+    s = Stored(payload, plan)
+    c_v = _sums(s.v_of[s.ctx], s.c, len(s.v_words)).astype(np.int64)
+    yield "words", bucket, _pack_words(s.keys[s.v_words[~s.v_hot]], c_v[~s.v_hot])
+    asked = s.keys[s.cold_words(plan)]
+    to = _bucket(asked, np.zeros_like(asked), plan.buckets)
+    for b in np.unique(to).tolist():
+        yield "asks", b, _pack(src=np.array([bucket]), words=_steps(asked[to == b]))
+    hot = np.flatnonzero(s.v_hot[s.pair_v])
+    hv, hw, hc = s.hot_at[s.pair_v[hot]], s.keys[s.pair_w[hot]], s.c_pair[hot]
+    for b, mine in _dealt(hv, hw, plan):
+        yield "pairs", b, _pack(src=np.array([bucket]), v=hv[mine], w=hw[mine], count=hc[mine])
+
+
 def _any(at: np.ndarray, flags: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(n, dtype=bool)
     out[at[flags]] = True
@@ -415,13 +448,22 @@ class Stored:
         self.open = [p[k].astype(np.int64) for k in ("chunk", "doc", "n", "gram")]
         self.keys = np.r_[plan.common, _keys(p["words"])]
         self.n = len(self.keys)
-        self.v_words, self.u, self.w, self.c = (p[k].astype(np.int64) for k in ("v", "u", "w", "count"))
-        self.v_of = np.repeat(np.arange(len(self.v_words)), p["v_run"].astype(np.int64))
-        self.ctx = np.repeat(np.arange(len(self.u)), p["u_run"].astype(np.int64))
+        self.v_words, self.u, self.w, self.c = (p.pop(k).astype(np.int32) if k != "count" else p.pop(k).astype(np.int64) for k in ("v", "u", "w", "count"))
+        self.v_of = np.repeat(np.arange(len(self.v_words), dtype=np.int32), p.pop("v_run").astype(np.int64))
+        self.ctx = np.repeat(np.arange(len(self.u), dtype=np.int32), p.pop("u_run").astype(np.int64))
+        del p
         self.hot_at, self.v_hot = _place(plan.hot, self.keys[self.v_words])
-        self.pairs, self.pair = np.unique(self.v_of[self.ctx] * self.n + self.w, return_inverse=True)
-        self.pair_v, self.pair_w = self.pairs // self.n, self.pairs % self.n
-        self.c_pair = _sums(self.pair, self.c, len(self.pairs)).astype(np.int64)
+        pairs, self.pair = _numbered(self.v_of[self.ctx], self.n, self.w)
+        self.pair_v, self.pair_w = (pairs // self.n).astype(np.int32), (pairs % self.n).astype(np.int32)
+        del pairs
+        self.c_pair = _sums(self.pair, self.c, len(self.pair_v)).astype(np.int64)
+
+    def cold_words(self, plan: Plan) -> np.ndarray:
+        """The words w, frequent ones aside, in the order of their keys, whose counts open tokens need: those after a v with one."""
+        needed = _any(self.v_of[self.ctx[self.open[3]]], np.ones(len(self.open[3]), dtype=bool), len(self.v_words))
+        found = np.unique(self.w[needed[self.v_of[self.ctx]]])
+        found = found[~_place(plan.hot, self.keys[found])[1]]
+        return found[np.argsort(self.keys[found])]
 
 
 def settle_bucket(payload: bytes, answers: list[bytes], totals: Totals, plan: Plan):
@@ -436,8 +478,7 @@ def settle_bucket(payload: bytes, answers: list[bytes], totals: Totals, plan: Pl
     w_words = np.unique(s.w)
     at, w_hot = _place(plan.hot, s.keys[w_words])
     c_word[w_words[w_hot]] = totals.c1[at[w_hot]]
-    cold = w_words[~w_hot]
-    cold = cold[np.argsort(s.keys[cold])]
+    cold = s.cold_words(plan)
     to = _bucket(s.keys[cold], np.zeros(len(cold), dtype=np.uint64), plan.buckets)
     for b in np.unique(to).tolist():
         c_word[cold[to == b]] = found[b]["word"]
@@ -480,8 +521,9 @@ def sum_chunk(held: dict[str, list[bytes]], totals: Totals, plan: Plan) -> pa.Re
     ordered = lambda kind: sorted(held.get(kind, []))  # noqa: E731  sums don't depend on the order of arrival
     for p in map(_unpack, ordered("sums")):
         at = p["doc"].astype(np.int64)
-        base[at] += p["real"][:, 0]
-        score[at] += p["real"][:, 1] + p["low"] @ logs
+        real = _reals_of(p["real"])
+        base[at] += real[:, 0]
+        score[at] += real[:, 1] + p["low"] @ logs
         known[at] += p["known"].astype(np.int64)
     for p in map(_unpack, ordered("rest")):
         score[p["doc"].astype(np.int64)] += p["value"]
@@ -507,11 +549,14 @@ def _store(spark: SparkSession, df: DataFrame, name: str, *by: str) -> tuple[Dat
     return spark.read.schema(_TABLE).parquet(path).select("kind", "part", "payload"), path
 
 
-def frequent_words(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of the words to spread (the end and the start always) and of those that get a number, from SAMPLE texts."""
+def frequent_words(texts: DataFrame, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the words to spread (the end and the start always) and of those that get a number, from about SAMPLE of n texts,
+    drawn row by row."""
     counts: Counter = Counter()
-    for row in texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("text").toLocalIterator():
-        counts.update(tokens(row[0]))
+    drawn = texts.select("text") if n <= SAMPLE else texts.select("text").sample(SAMPLE / n, 7)
+    for batch in drawn.toArrow().to_batches(max_chunksize=500):
+        for text in batch.column(0).to_pylist():
+            counts.update(tokens(text))
     least = sum(counts.values()) / (4 * buckets)
     hot = {END, START, *(word_key(w) for w, n in counts.most_common(HOT) if n >= least)}
     common = hot | {word_key(w) for w, n in counts.most_common(COMMON) if n > 1}
@@ -542,10 +587,10 @@ def ngrams(spark: SparkSession, model: DataFrame, plan: Plan) -> DataFrame:
 
 
 def learn(spark: SparkSession, rows: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, Plan]:
-    """Packs and counts rows (doc_id, text): the table of kinds docs, sums, model, words, asks, pairs, stats."""
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    """Packs and counts rows (doc_id, text): the table of kinds docs, sums, model, stats."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     buckets = max(1, -(-size // bucket_bytes))
-    plan = Plan(buckets, *frequent_words(rows, buckets))
+    plan = Plan(buckets, *frequent_words(rows, n, buckets))
 
     def pack(batches):
         from pyspark import TaskContext
@@ -561,6 +606,8 @@ def learn(spark: SparkSession, rows: DataFrame, bucket_bytes: int = BUCKET_BYTES
                 for row in pack_chunk(chunk, part.column(0).to_pylist(), part.column(1).to_pylist(), plan):
                     yield _rows([row])
                 chunk, start = chunk + 1, stop
+                del part, row
+                trim()
 
     def count(batches):
         def reduce(part, held):
@@ -568,6 +615,7 @@ def learn(spark: SparkSession, rows: DataFrame, bucket_bytes: int = BUCKET_BYTES
                 yield "docs", part, payload
             if "grams" in held:
                 yield from count_bucket(part, held.pop("grams"), plan)
+                trim()
 
         return _by_part(batches, reduce)
 
@@ -585,7 +633,16 @@ def score_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first, plan = learn(spark, rows, bucket_bytes)
     dealt = lambda df: df.repartition(plan.buckets, "part").sortWithinPartitions("part", "kind")
-    asked = dealt(first.where("kind IN ('words', 'asks', 'pairs')"))
+    model = first.where("kind = 'model'").select("part", "payload")
+
+    def asking(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for row in ask(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), plan):
+                    yield _rows([row])
+                trim()
+
+    asked = dealt(model.mapInArrow(asking, _TABLE))
     answered = asked.mapInArrow(lambda batches: _by_part(batches, lambda part, held: answer_part(part, held, plan)), _TABLE)
     second, _ = _store(spark, answered, "answered", "kind")
     _, answers = _store(spark, second.where("kind = 'answers'").repartition(plan.buckets, "part"), "answers", "part")
@@ -613,11 +670,12 @@ def score_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     def settle(batches):
         for batch in batches:
-            for part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for row in settle_bucket(payload, _read_part(answers, part), totals, plan):
+            for i in range(batch.num_rows):
+                for row in settle_bucket(batch.column(1)[i].as_py(), _read_part(answers, batch.column(0)[i].as_py()), totals, plan):
                     yield _rows([row])
+                trim()
 
-    rest, _ = _store(spark, first.where("kind = 'model'").select("part", "payload").mapInArrow(settle, _TABLE), "rest", "kind")
+    rest, _ = _store(spark, model.mapInArrow(settle, _TABLE), "rest", "kind")
 
     def finish(batches):
         part, held = None, defaultdict(list)
@@ -626,6 +684,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
                 if p != part and held:
                     yield sum_chunk(held, totals, plan)
                     held = defaultdict(list)
+                    trim()
                 part = p
                 held[kind].append(payload)
         if held:
