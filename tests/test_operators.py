@@ -194,6 +194,17 @@ def test_formats(spark):
     assert tuple(got) == ("1s 2ms 3us", "1.50 KB", "c.tar", "2024-01-31_23:59:59", "c.tar_x.csv", "12 B")
 
 
+def test_sizes_round_halves_to_even(spark):
+    sizes = [133 * 1024 + 128, 133 * 1024 + 384, 694 * 1024 + 640, 1024 + 896, 1048575, 2**20 + 2**17, 2**30 + 5 * 2**27, 562949953421312 * 16 - 1, 1023]
+    df = spark.createDataFrame([(n,) for n in sizes] + [(None,)], "n long")
+    unit = lambda n: next((1 << k, u) for k, u in ((30, "GB"), (20, "MB"), (10, "KB")) if n >= 1 << k)
+    want = [f"{n / unit(n)[0]:.2f} {unit(n)[1]}" if n >= 1024 else f"{n} B" for n in sizes]
+    assert [r[0] for r in df.select(formats.byte_size(F.col("n"))).collect()] == [*want, None]
+    assert [r[0] for r in df.limit(1).select(formats.byte_size(F.lit(1029.5))).collect()] == ["1.01 KB"]
+    moments = spark.createDataFrame([(-1_500_001,), (2**62 + 1,), (None,)], "m long")
+    assert [r[0] for r in moments.select(formats.duration(F.col("m"))).collect()] == ["-1s -500ms -1us", "4611686018427s 387ms 905us", None]
+
+
 def test_choose_ties(spark):
     rows = [(10, 5, 4), (10, 5, 5), (10, 10, None), (10, 12, 11), (10, 9, None)]
     df = spark.createDataFrame(rows, "a int, b int, c int")
