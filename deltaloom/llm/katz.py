@@ -20,6 +20,7 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,11 @@ CHUNK_BYTES, BUCKET_BYTES = 10 << 20, 12 << 20
 K, SMOOTH, FOLDS = 5, 0.1, 10
 #: Words spread over all buckets, and words that packets name by number, at most; texts of the sample that finds them, about.
 HOT, COMMON, SAMPLE = 1000, 200_000, 6000
+#: Bytes of rows that go from Python to Spark at once, about.
+BATCH_BYTES = 1 << 19
 #: Sums of logarithms are kept in whole steps of this size, so that they don't depend on an order and pack well.
 STEP = 2.0**-30
-END, START = 0, 1
+END, START, WORD_SEED = 0, 1, 7
 _TABLE = "kind string, part long, payload binary"
 
 
@@ -55,7 +58,7 @@ def word_key(word: bytes) -> int:
     """64 bits of a word, 2 and up; 0 is the end, 1 the start."""
     from xxhash import xxh64_intdigest
 
-    return max(2, xxh64_intdigest(word, 7))
+    return max(2, xxh64_intdigest(word, WORD_SEED))
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -67,7 +70,7 @@ def _pack(**arrays: np.ndarray) -> bytes:
         if a.dtype.kind in "iu" and a.dtype != np.uint64:
             a = a.astype(np.min_scalar_type(int(a.max(initial=0))))
         slim[k] = (a.dtype.str, a.shape, np.ascontiguousarray(a.reshape(-1).view(np.uint8).reshape(-1, a.dtype.itemsize).T))
-    return zstandard.ZstdCompressor(level=4).compress(pickle.dumps(slim, protocol=5))
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(slim, protocol=5))
 
 
 def _unpack(raw: bytes) -> dict[str, np.ndarray]:
@@ -128,6 +131,12 @@ class Plan:
         self.buckets, self.hot, self.common = buckets, hot, common
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys in order, by a sort: numpy's own way through a hash table takes longer."""
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
 def _numbered(high: np.ndarray, n: int, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct high * n + low in order, and the number of each row's."""
     codes = high.astype(np.int64)
@@ -139,6 +148,8 @@ def _numbered(high: np.ndarray, n: int, low: np.ndarray) -> tuple[np.ndarray, np
 
 def pack_chunk(chunk: int, ids: list[int | None], texts: list[str | None], plan: Plan):
     """The rows of a chunk: kind docs (its documents and their frequent words) and kind grams by bucket."""
+    from xxhash import xxh64_intdigest
+
     number: dict[bytes, int] = defaultdict()
     number.default_factory = number.__len__
     found, sizes = [], np.zeros(len(ids), dtype=np.int64)
@@ -149,7 +160,7 @@ def pack_chunk(chunk: int, ids: list[int | None], texts: list[str | None], plan:
     del texts
     keys = np.empty(len(number) + 2, dtype=np.uint64)
     keys[:2] = END, START
-    keys[2:] = np.fromiter(map(word_key, number), dtype=np.uint64, count=len(number))
+    keys[2:] = np.maximum(np.fromiter(map(xxh64_intdigest, number, repeat(WORD_SEED)), dtype=np.uint64, count=len(number)), 2)  # word_key()
     n = len(keys)
     number.clear()
     end, start = np.zeros(1, dtype=np.int32), np.ones(2, dtype=np.int32)
@@ -186,12 +197,16 @@ def pack_chunk(chunk: int, ids: list[int | None], texts: list[str | None], plan:
     cuts = np.searchsorted(bucket[order], np.arange(plan.buckets + 1))
     common_at, is_common = _place(plan.common, keys)
     name = np.where(is_common, common_at, -1)
+    used = np.zeros(n, dtype=bool)
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         mine = order[cuts[b] : cuts[b + 1]]
         types = _members(ctx_grams, mine)
         rows = _members(gram_cells, types)
-        used = np.unique(np.concatenate([cv[mine], cu[mine], gram_w[types]]))
-        rare = used[name[used] < 0]
+        for x in (cv[mine], cu[mine], gram_w[types]):
+            used[x] = True
+        rare = np.flatnonzero(used)
+        used[rare] = False
+        rare = rare[name[rare] < 0]
         rare = rare[np.argsort(keys[rare])]
         name[rare] = len(plan.common) + np.arange(len(rare))
         new_v = np.r_[True, cv[mine][1:] != cv[mine][:-1]]
@@ -203,20 +218,31 @@ def pack_chunk(chunk: int, ids: list[int | None], texts: list[str | None], plan:
         name[rare] = -1
 
 
+def _batched(rows):
+    """Rows in batches of some BATCH_BYTES: a batch takes longer than a small row does."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size >= BATCH_BYTES:
+            yield _rows(held)
+            held, size = [], 0
+    if held:
+        yield _rows(held)
+
+
 def _by_part(batches, reduce):
     """Calls reduce(part, payloads by kind) for each run of equal parts (rows sorted by part, kind)."""
     part, held = None, defaultdict(list)
     for batch in batches:
         for kind, p, payload in zip(*(c.to_pylist() for c in batch.columns)):
             if p != part and held:
-                for row in reduce(part, held):
-                    yield _rows([row])
+                yield from _batched(reduce(part, held))
                 held = defaultdict(list)
             part = p
             held[kind].append(payload)
     if held:
-        for row in reduce(part, held):
-            yield _rows([row])
+        yield from _batched(reduce(part, held))
 
 
 def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -230,21 +256,27 @@ def count_bucket(bucket: int, payloads: list[bytes], plan: Plan):
     held = [np.unpackbits(p["held"])[: int(p["n"][0])].astype(bool) for p in packets]
     n_common = len(plan.common)
     rare = [_keys(p["words"]) for p in packets]
-    words = np.unique(np.concatenate(rare))
+    words = _distinct(np.concatenate(rare))
     n = n_common + len(words)
     keys = np.r_[plan.common, words]
 
-    def own(p, r, names):
-        return np.r_[np.arange(n_common), n_common + np.searchsorted(words, r)][p[names].astype(np.int64)]
+    place = [np.searchsorted(words, r) for r in rare]
+
+    def own(p, at, names):
+        """The numbers of a packet's words: frequent ones have the same everywhere."""
+        x = p[names].astype(np.int64)
+        own_words = np.flatnonzero(x >= n_common)
+        x[own_words] = n_common + at[x[own_words] - n_common]
+        return x
 
     # contexts (v, u) and trigrams of all packets, numbered in their order
-    pv = [np.repeat(own(p, r, "v"), p["v_run"].astype(np.int64)) for p, r in zip(packets, rare)]
-    pu = [own(p, r, "u") for p, r in zip(packets, rare)]
+    pv = [np.repeat(own(p, at, "v"), p["v_run"].astype(np.int64)) for p, at in zip(packets, place)]
+    pu = [own(p, at, "u") for p, at in zip(packets, place)]
     contexts, context = _numbered(np.concatenate(pv), n, np.concatenate(pu))
     del pv, pu
     context = np.repeat(context, np.concatenate([p.pop("u_run") for p in packets]).astype(np.int64))
-    grams, gram = _numbered(context, n, np.concatenate([own(p, r, "w") for p, r in zip(packets, rare)]))
-    del context, rare
+    grams, gram = _numbered(context, n, np.concatenate([own(p, at, "w") for p, at in zip(packets, place)]))
+    del context, rare, place
     c = np.zeros(len(grams), dtype=np.int64)
     spans = np.cumsum([0, *(len(p["w"]) for p in packets)])
     cells = []
@@ -276,7 +308,10 @@ def count_bucket(bucket: int, payloads: list[bytes], plan: Plan):
     is_word = (keys[v_words] != START) & ~v_hot
     for k, p in enumerate(packets):
         g, doc, count = cells[k], p["doc"].astype(np.int64), p["count"].astype(np.int64) + 1
-        docs, local = np.unique(doc, return_inverse=True)
+        there = np.zeros(len(held[k]), dtype=bool)
+        there[doc] = True
+        docs = np.flatnonzero(there)
+        local = (np.cumsum(there) - 1)[doc]
         x, cg = v_of[ctx[g]], c[g]
         known = cg > 0
         real = np.stack(
@@ -286,7 +321,7 @@ def count_bucket(bucket: int, payloads: list[bytes], plan: Plan):
             ],
             axis=1,
         )
-        low = np.stack([_sums(local, np.where(cg == r, count, 0), len(docs)) for r in range(1, K + 1)], axis=1)
+        low = _sums(local * (K + 2) + np.minimum(cg, K + 1), count, len(docs) * (K + 2)).reshape(-1, K + 2)[:, 1 : K + 1]
         yield "sums", int(p["chunk"][0]), _pack(
             doc=docs, real=_steps_of(real), known=_sums(local, np.where(is_word[x] & (c_v[x] > 0), count, 0), len(docs)).astype(np.int64), low=low.astype(np.int64)
         )
@@ -437,7 +472,8 @@ def backoff(low: np.ndarray, high: np.ndarray, total: np.ndarray, d: np.ndarray,
 
 
 def _classes(at: np.ndarray, c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.stack([_sums(at, c == r, n) for r in range(1, K + 1)], axis=1), _sums(at, np.where(c > K, c, 0), n)
+    low = np.bincount(at.astype(np.int64) * (K + 2) + np.clip(c, 0, K + 1).astype(np.int64), minlength=n * (K + 2)).reshape(-1, K + 2)[:, 1 : K + 1]
+    return low.astype(float), _sums(at, np.where(c > K, c, 0), n)
 
 
 class Stored:
@@ -461,7 +497,9 @@ class Stored:
     def cold_words(self, plan: Plan) -> np.ndarray:
         """The words w, frequent ones aside, in the order of their keys, whose counts open tokens need: those after a v with one."""
         needed = _any(self.v_of[self.ctx[self.open[3]]], np.ones(len(self.open[3]), dtype=bool), len(self.v_words))
-        found = np.unique(self.w[needed[self.v_of[self.ctx]]])
+        met = np.zeros(self.n, dtype=bool)
+        met[self.w[needed[self.v_of[self.ctx]]]] = True
+        found = np.flatnonzero(met)
         found = found[~_place(plan.hot, self.keys[found])[1]]
         return found[np.argsort(self.keys[found])]
 
@@ -475,7 +513,7 @@ def settle_bucket(payload: bytes, answers: list[bytes], totals: Totals, plan: Pl
     found = {int(p["part"][0]): p for p in map(_unpack, answers)}
     # unigrams
     c_word = np.zeros(s.n, dtype=np.int64)
-    w_words = np.unique(s.w)
+    w_words = np.flatnonzero(np.bincount(s.w, minlength=s.n))
     at, w_hot = _place(plan.hot, s.keys[w_words])
     c_word[w_words[w_hot]] = totals.c1[at[w_hot]]
     cold = s.cold_words(plan)
@@ -603,10 +641,9 @@ def learn(spark: SparkSession, rows: DataFrame, bucket_bytes: int = BUCKET_BYTES
                 before = sizes[start - 1] if start else 0
                 stop = max(start + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES, side="right")))
                 part = batch.slice(start, stop - start)
-                for row in pack_chunk(chunk, part.column(0).to_pylist(), part.column(1).to_pylist(), plan):
-                    yield _rows([row])
+                yield from _batched(pack_chunk(chunk, part.column(0).to_pylist(), part.column(1).to_pylist(), plan))
                 chunk, start = chunk + 1, stop
-                del part, row
+                del part
                 trim()
 
     def count(batches):
@@ -638,8 +675,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     def asking(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                for row in ask(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), plan):
-                    yield _rows([row])
+                yield from _batched(ask(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), plan))
                 trim()
 
     asked = dealt(model.mapInArrow(asking, _TABLE))
@@ -671,8 +707,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     def settle(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                for row in settle_bucket(batch.column(1)[i].as_py(), _read_part(answers, batch.column(0)[i].as_py()), totals, plan):
-                    yield _rows([row])
+                yield from _batched(settle_bucket(batch.column(1)[i].as_py(), _read_part(answers, batch.column(0)[i].as_py()), totals, plan))
                 trim()
 
     rest, _ = _store(spark, model.mapInArrow(settle, _TABLE), "rest", "kind")

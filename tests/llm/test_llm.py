@@ -399,6 +399,15 @@ def test_katz_equals_brute_force(spark, bucket_bytes):
     assert katz.score_documents(spark, documents(spark, [])).count() == 0
 
 
+def test_katz_rows_go_in_few_batches():
+    rows = [("grams", i, bytes(katz.BATCH_BYTES // 8)) for i in range(20)] + [("sums", 20, bytes(3 * katz.BATCH_BYTES)), ("docs", 21, b"x")]
+    found = list(katz._batched(iter(rows)))
+    assert [x.num_rows for x in found] == [8, 8, 5, 1]
+    assert [tuple(r.values()) for x in found for r in x.to_pylist()] == rows and not list(katz._batched(iter([])))
+    keys = np.array([5, 3, 2**64 - 1, 3, 0], dtype=np.uint64)
+    assert katz._distinct(keys).tolist() == np.unique(keys).tolist() and not len(katz._distinct(keys[:0]))
+
+
 def test_token_ids_round_trip(spark):
     from tokenizers import Tokenizer
 
