@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Tokens (words) are summed by cell of source, language and topic. A topic is a cluster of texts that use words alike, fitted on a
-bounded sample, unless the documents bring a column of their own. Raking scales the cells until their marginals meet
+Tokens (words) are summed by cell of source, language and topic. A topic is a cluster of texts that use words alike, fitted on
+all texts, unless the documents bring a column of their own. Raking scales the cells until their marginals meet
 the targets of each dimension; a cell's weight is raked over present tokens. Documents are then drawn by a hash of
 their id with a number of copies expected in proportion to their cell's weight, so that expected tokens have the
 target mix. Every value has a marginal of its own: up to MOST_CELLS cells are raked on the driver, more by Spark.
@@ -9,6 +9,9 @@ target mix. Every value has a marginal of its own: up to MOST_CELLS cells are ra
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+from functools import partial
 from zlib import crc32
 
 import numpy as np
@@ -16,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import materialise, share_of, worker_cache
-from deltaloom.llm.pqdedup import kmeans, spread
+from deltaloom.llm.common import materialise, worker_cache
 
 DIMENSIONS = ("source", "lang", "topic")
 OTHER = "(other)"
@@ -29,21 +31,58 @@ POWER = 0.9
 ROUNDS, TOLERANCE = 200, 1e-10
 
 
-#: Topics, the rows of the sample that they are fitted on, and the slots that words are hashed into.
-TOPICS, TOPIC_ROWS, SLOTS = 8, 4_000, 512
+#: Topics, the slots that words are hashed into, rounds of the clusters, and texts that are tried for each one's start.
+TOPICS, SLOTS, CLUSTER_ROUNDS, TRIES = 8, 512, 8, 8
 _CACHE_WORDS = 400_000
+#: Sums over texts are kept in whole steps of this size, so that they don't depend on an order.
+STEP = 2.0**-30
+#: Texts to a part of the table that topics are fitted on, about, and to a block.
+PART, BLOCK = 8_192, 512
+_SLOT = np.dtype([("slot", "<u2"), ("n", "<u4")])
 
 
 class Topics:
-    """Clusters of hashed word counts. Weights lift the slots that few texts use."""
+    """Clusters of hashed word counts of all texts. Weights lift the slots that few texts use.
+
+    ``passes`` calls a function with the blocks (hashes, counts of words by slot) of each part of the texts and returns what it
+    gives for each. Starts are drawn one by one by their squared distance to those before, each the best of TRIES: by the least
+    of exponential variates, which come from the hashes. Then all texts go through CLUSTER_ROUNDS rounds of k-means.
+    """
 
     def __init__(self, texts: list[str | None], topics: int = TOPICS, seed: int = 0):
-        found = [self.counts(t) for t in texts]
-        counts = np.stack([c for c in found if c.any()]) if any(c.any() for c in found) else np.zeros((0, SLOTS))
-        self.weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0)))
-        x = self._units(counts)
-        rng = np.random.default_rng(seed)
-        self.centers = kmeans(x, topics, rng, start=spread(x, topics, rng)) if len(x) else np.zeros((1, SLOTS))
+        counts = np.stack([self.counts(t) for t in texts]) if texts else np.zeros((0, SLOTS), dtype=np.int64)
+        rows = counts.any(axis=1)
+        block = (np.arange(len(counts), dtype=np.uint64)[rows], counts[rows])
+        self._fit(lambda part: [part(iter([block]))], topics, seed)
+
+    @classmethod
+    def over(cls, passes: Callable[[Callable], list], topics: int = TOPICS, seed: int = 0) -> Topics:
+        found = cls.__new__(cls)
+        found._fit(passes, topics, seed)
+        return found
+
+    def _fit(self, passes: Callable[[Callable], list], topics: int, seed: int) -> None:
+        found = passes(partial(_frequencies, seed=seed))
+        n = sum(f[0] for f in found)
+        self.weights = np.log((1 + n) / (1 + sum((f[1] for f in found), np.zeros(SLOTS, dtype=np.int64))))
+        self.centers = np.zeros((1, SLOTS))
+        if not n:
+            return
+        tried, centers = [min(f for _, _, first in found for f in first)], np.zeros((0, SLOTS))
+        while tried and len(centers) < topics:
+            rows = self._units(np.stack([_dense([t[2]])[0] for t in tried]))
+            seen = passes(partial(_distances, topics=self, centers=centers, tried=rows, seed=seed + 1 + len(centers)))
+            best = int(np.argmin(sum(s[0] for s in seen)))
+            centers = np.vstack([centers, rows[best]])
+            tried = sorted(t for s in seen for t in s[1][best])[:TRIES]
+        self.centers = centers
+        for _ in range(CLUSTER_ROUNDS):
+            found = passes(partial(_members, topics=self))
+            size, total = sum(f[0] for f in found), sum(f[1] for f in found)
+            moved = np.where(size[:, None] > 0, total * STEP / np.maximum(size, 1)[:, None], self.centers)
+            same, self.centers = np.array_equal(moved, self.centers), moved
+            if same:
+                break
 
     @staticmethod
     def counts(text: str | None) -> np.ndarray:
@@ -61,18 +100,110 @@ class Topics:
         x = np.sqrt(counts) * self.weights
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
+    def _nearest(self, x: np.ndarray) -> np.ndarray:
+        return ((self.centers**2).sum(1)[None] - 2 * x @ self.centers.T).argmin(1)
+
     def name(self, counts: np.ndarray) -> np.ndarray:
         """Topics of rows of counts; texts without words have none."""
-        near = ((self.centers**2).sum(1)[None] - 2 * self._units(counts) @ self.centers.T).argmin(1)
+        near = self._nearest(self._units(counts))
         return np.where(counts.any(axis=1), np.char.add("topic", near.astype(str)), "none")
 
 
-def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, rows: int = TOPIC_ROWS) -> Topics:
-    """Topics of about ``rows`` rows at most, drawn by a hash of their text where they stand; equal texts count once."""
+def _sparse(counts: np.ndarray) -> bytes:
+    slots = np.flatnonzero(counts)
+    out = np.empty(len(slots), dtype=_SLOT)
+    out["slot"], out["n"] = slots, counts[slots]
+    return out.tobytes()
+
+
+def _dense(packed: list[bytes]) -> np.ndarray:
+    found = np.frombuffer(b"".join(packed), _SLOT)
+    out = np.zeros((len(packed), SLOTS), dtype=np.int64)
+    out[np.repeat(np.arange(len(packed)), [len(p) // _SLOT.itemsize for p in packed]), found["slot"]] = found["n"]
+    return out
+
+
+def _exponential(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Exponential variates that follow from hashes."""
+    z = hashes + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return -np.log(((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54)
+
+
+def _least(keys: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int) -> list[tuple[float, int, bytes]]:
+    """(key, hash, packed counts) of the rows with the n least keys."""
+    rows = np.argsort(keys, kind="stable")[:n]
+    return [(float(keys[i]), int(hashes[i]), _sparse(counts[i])) for i in rows if np.isfinite(keys[i])]
+
+
+def _frequencies(blocks, seed: int) -> tuple[int, np.ndarray, list]:
+    """Texts, the texts that use each slot, and the text with the least variate."""
+    n, used, first = 0, np.zeros(SLOTS, dtype=np.int64), []
+    for hashes, counts in blocks:
+        n, used = n + len(counts), used + (counts > 0).sum(axis=0)
+        first = sorted(first + _least(_exponential(hashes, seed), hashes, counts, 1))[:1]
+    return n, used, first
+
+
+def _distances(blocks, topics: Topics, centers: np.ndarray, tried: np.ndarray, seed: int) -> tuple[np.ndarray, list]:
+    """For each text tried: the sum of squared distances that it would leave, and the next ones to try."""
+    left, drawn = np.zeros(len(tried), dtype=np.int64), [[] for _ in tried]
+    for hashes, counts in blocks:
+        x = topics._units(counts)
+        squares = (x**2).sum(1)[:, None]
+        to = lambda c: np.maximum(squares + (c**2).sum(1)[None] - 2 * x @ c.T, 0)
+        far = np.minimum(to(centers).min(axis=1, initial=np.inf)[:, None], to(tried))
+        left += np.round(far / STEP).astype(np.int64).sum(axis=0)
+        variates = _exponential(hashes, seed)
+        for k in range(len(tried)):
+            keys = np.where(far[:, k] > 1e-12, variates / np.maximum(far[:, k], 1e-12), np.inf)
+            if len(drawn[k]) < TRIES or keys.min(initial=np.inf) < drawn[k][-1][0]:
+                drawn[k] = sorted(drawn[k] + _least(keys, hashes, counts, TRIES))[:TRIES]
+    return left, drawn
+
+
+def _members(blocks, topics: Topics) -> tuple[np.ndarray, np.ndarray]:
+    """Number and sum (in steps) of the texts nearest to each center."""
+    k = len(topics.centers)
+    size, total = np.zeros(k, dtype=np.int64), np.zeros((k, SLOTS), dtype=np.int64)
+    for _, counts in blocks:
+        x = topics._units(counts)
+        near = topics._nearest(x)
+        size += np.bincount(near, minlength=k)
+        steps = np.round(x / STEP)
+        total += np.stack([steps[near == c].sum(axis=0) for c in range(k)]).astype(np.int64)
+    return size, total
+
+
+def fit_topics(spark: SparkSession, docs: DataFrame, text_col: str = "text", topics: int = TOPICS) -> Topics:
+    """Topics of all texts with words; equal texts count once. Their counts of words are a table, over which every step goes."""
     text = F.col(f"`{text_col}`").cast("string")
-    drawn = docs.select(text.alias("text")).where(share_of(F.col("text")) < rows / max(1, docs.count()))
-    drawn = drawn.groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
-    return Topics([t for _, t in sorted(zip(*(c.to_pylist() for c in drawn.toArrow().columns)), key=lambda r: r[0])], topics)
+
+    def count(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(i, BLOCK)
+                packed = pa.array([_sparse(Topics.counts(t)) for t in part.column(1).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), packed], names=["h", "packed"])
+
+    counted = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(count, "h long, packed binary")
+    counted = counted.where(F.octet_length("packed") > 0).groupBy("h").agg(F.min("packed").alias("packed"))
+    table = materialise(spark, counted.repartition(max(1, -(-docs.count() // PART)), "h"), "words")
+
+    def passes(part):
+        def run(batches):
+            def blocks():
+                for batch in batches:
+                    for i in range(0, batch.num_rows, BLOCK):
+                        rows = batch.slice(i, BLOCK)
+                        yield rows.column(0).to_numpy().view(np.uint64), _dense(rows.column(1).to_pylist())
+
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(part(blocks()))], pa.binary())], names=["found"])
+
+        return [pickle.loads(f) for f in table.mapInArrow(run, "found binary").toArrow()["found"].to_pylist()]
+
+    return Topics.over(passes, topics)
 
 
 def tempered(totals: dict[str, float], power: float = POWER) -> dict[str, float]:
@@ -254,8 +385,8 @@ def sample(
     if they share a cell), and kept says that it is not 0. Null and empty texts have no tokens: they change no share and
     stay once. An empty table gives none; columns other than doc_id, text, source, lang (and topic_col) are ignored.
     """
-    topics = None if topic_col else fit_topics(docs)
-    documents = described(docs, topics, topic_col=topic_col)
+    topics = None if topic_col else fit_topics(spark, docs)
+    documents = materialise(spark, described(docs, topics, topic_col=topic_col), "described")
     found = _with_cells(documents, cell_weights(spark, documents, targets, power, size, most_cells))
     copies = _copies(F.col("doc_id"), F.col("probability"), seed)
     return found.select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", (copies > 0).alias("kept"), copies.alias("copies"))
@@ -269,7 +400,7 @@ def mixed(
 
     Columns, of any name, and types are those of docs. Nulls, repeats and empty tables as in sample().
     """
-    topics = None if topic_col else fit_topics(docs)
+    topics = None if topic_col else fit_topics(spark, docs)
     cells = cell_weights(spark, described(docs, topics, topic_col=topic_col), targets, power, size, most_cells)
     found = _with_cells(described(docs, topics, topic_col=topic_col, whole=True), cells)
     found = found.select("row", _copies(F.col("doc_id"), F.col("probability"), seed).alias("copies")).where("copies > 0")

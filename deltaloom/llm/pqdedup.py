@@ -43,20 +43,6 @@ def _nearest(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return out
 
 
-def spread(points: np.ndarray, k: int, rng: np.random.Generator, tries: int = 8) -> np.ndarray:
-    """k points to start from. Each is the best of some that are drawn by their squared distance to those before: the one that
-    leaves the least distance in sum. Fewer if the rest are equal to them."""
-    found = [points[rng.integers(len(points))]]
-    far = ((points - found[0]) ** 2).sum(1)
-    while len(found) < k and far.max() > 1e-12:
-        drawn = rng.choice(len(points), tries, p=far / far.sum())
-        left = [np.minimum(far, ((points - points[i]) ** 2).sum(1)) for i in drawn]
-        best = int(np.argmin([x.sum() for x in left]))
-        found.append(points[drawn[best]])
-        far = left[best]
-    return np.stack(found)
-
-
 def kmeans(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8, start: np.ndarray | None = None) -> np.ndarray:
     centers = start if start is not None else points[rng.choice(len(points), min(k, len(points)), replace=False)].copy()
     for _ in range(rounds):

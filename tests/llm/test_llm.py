@@ -358,6 +358,22 @@ def test_topics_tell_word_use_apart(spark):
     assert long["n_tokens"] == 300_000 and long["topic"] != "none"
 
 
+def test_topics_are_fitted_on_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CLUSTER_ROUNDS", 100)
+    own = [[f"{t}{k}" for k in range(60)] for t in ("gear", "leaf", "coin")]
+    r = random.Random(7)
+    texts = [" ".join(r.choice(own[i % 2]) for _ in range(6)) for i in range(4500)] + [" ".join(r.choice(own[2]) for _ in range(40)) for _ in range(2)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, *texts[:50], None, ""]], "text string").repartition(7)
+    found = mixing.fit_topics(spark, docs, topics=3)
+    counts = np.stack([mixing.Topics.counts(t) for t in sorted(set(texts))])
+    assert np.allclose(found.weights, np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))))
+    near = found._nearest(found._units(counts))
+    assert np.allclose(found.centers, [found._units(counts)[near == k].mean(axis=0) for k in range(3)], atol=1e-6)
+    again = mixing.fit_topics(spark, docs.repartition(3), topics=3)
+    assert np.array_equal(found.centers, again.centers)
+    assert mixing.fit_topics(spark, docs.limit(0)).centers.shape == (1, mixing.SLOTS)
+
+
 def test_every_source_has_its_marginal(spark):
     rows = [(i, prose(40, i), "en", f"s{i % 250:03}") for i in range(750)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
