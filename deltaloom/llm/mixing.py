@@ -41,6 +41,14 @@ PART, BLOCK = 8_192, 512
 _SLOT = np.dtype([("slot", "<u2"), ("n", "<u4")])
 
 
+class _Slots(dict):
+    """Slots of words, each found when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        slot = self[word] = crc32(word) % SLOTS
+        return slot
+
+
 class Topics:
     """Clusters of hashed word counts of all texts. Weights lift the slots that few texts use.
 
@@ -87,13 +95,10 @@ class Topics:
     @staticmethod
     def counts(text: str | None) -> np.ndarray:
         """How many words of a text fall into each slot."""
-        slots = worker_cache("mixing").setdefault("slots", {})
+        slots = worker_cache("mixing").setdefault("slots", _Slots())
         if len(slots) > _CACHE_WORDS:
             slots.clear()
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        for w in words:
-            if w not in slots:
-                slots[w] = crc32(w) % SLOTS
         return np.bincount(np.fromiter(map(slots.__getitem__, words), np.int64, len(words)), minlength=SLOTS)
 
     def _units(self, counts: np.ndarray) -> np.ndarray:
@@ -118,7 +123,7 @@ def _sparse(counts: np.ndarray) -> bytes:
 
 def _dense(packed: list[bytes]) -> np.ndarray:
     found = np.frombuffer(b"".join(packed), _SLOT)
-    out = np.zeros((len(packed), SLOTS), dtype=np.int64)
+    out = np.zeros((len(packed), SLOTS))
     out[np.repeat(np.arange(len(packed)), [len(p) // _SLOT.itemsize for p in packed]), found["slot"]] = found["n"]
     return out
 
