@@ -3,6 +3,7 @@ from zlib import crc32
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,6 +280,50 @@ def test_pq_recall_in_any_geometry(spark, inner):
     assert recall >= 0.97 and all(got[i] <= n for i, n in enumerate(want))
 
 
+def test_pq_either_end_finds_a_link_and_few_lists_are_probed():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    step = rng.normal(size=(1000, 64))
+    step -= (step * x[:1000]).sum(1, keepdims=True) * x[:1000]
+    y = x[:1000] + 0.32 * step / np.linalg.norm(step, axis=1, keepdims=True)  # a cosine of 0.952
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    quantiser = pqdedup.Quantiser(x[1000:], x[:1000], 80)
+    assert quantiser.reach <= np.sqrt(0.1) / 2
+    lists = len(quantiser.coarse)
+    for reach, least in ((quantiser.reach, 0.995), (np.sqrt(0.1) / 2, 1.0)):
+        quantiser.reach = reach
+        (hx, rx, px), (hy, ry, py) = (quantiser.place(v.astype(np.float32)) for v in (x[:1000], y))
+        found = np.isin(np.arange(1000) * lists + hy, rx * lists + px) | np.isin(np.arange(1000) * lists + hx, ry * lists + py)
+        print(f"reach {reach:.3f}: {len(px) / 1000:.1f} of {lists} lists, {found.mean():.4f} of the links")
+        assert found.mean() >= least
+    # vectors go to tasks in blocks: a few rows, each cell's vectors once and every pair of vector and query in one cell
+    cells = pqdedup.Cells(quantiser, x[:1000], 6000)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(6000)), pa.array(np.ones(6000, np.int64)), pa.array([v.tobytes() for v in x])], names=["node", "copies", "vector"]
+    )
+    rows = pqdedup._packed(batch, quantiser, cells, "float64").to_pylist()
+    assert len(rows) <= 2 * cells.count and len({(r["cell"], r["kind"]) for r in rows}) == len(rows)
+    held = {i for r in rows if r["kind"] == 0 for i in np.frombuffer(r["node"], np.int64)}
+    assert held == set(range(6000)) and sum(len(r["node"]) for r in rows) < 8 * 6000 * (cells.count + cells.asks.max())
+
+
+def test_pq_hot_lists_are_cut_and_counts_hold(spark, monkeypatch):
+    monkeypatch.setattr(pqdedup, "BLOCK", 300)
+    monkeypatch.setattr(pqdedup, "AT_ONCE", 0)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2500, 12))
+    x[:900] = x[0] + 0.02 * rng.normal(size=(900, 12))  # a group of near copies in one list
+    x[2400:] = x[:100]  # copies
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    like = u @ u.T >= 0.95
+    got = {r["vec_id"]: r for r in pqdedup.near_duplicates(spark, table).collect()}
+    assert all(got[i]["n_links"] <= n for i, n in enumerate(like.sum(1) - 1))
+    assert sum(r["n_links"] for r in got.values()) >= 0.999 * (like.sum() - len(x))
+    assert {got[i]["component_id"] for i in range(900)} == {0} and got[0]["kept"] and not got[2400]["kept"]
+
+
 def test_pq_ties_and_repeated_ids(spark):
     e = np.eye(4)
     at = 0.95 * e[0] + np.sqrt(1 - 0.95**2) * e[1]
